@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .jaccard import jaccard_join
 from .mixing import copies
+from .pieces import encode
 from .quality import judge
 
 
@@ -19,6 +21,21 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies(_table(spark, sf_dir, "documents"))
 
 
+def piece_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = encode(_table(spark, sf_dir, "documents"), piece_model(), decoded=True)
+    pieces = F.size("ids").cast("long")
+    return rows.select(
+        "doc_id", pieces.alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.coalesce(F.element_at("ends", -1), F.lit(0)).cast("long").alias("n_source_bytes"),
+    )
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(_table(spark, sf_dir, "documents"), k=4, percent=85)
 
@@ -28,7 +45,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op4_jaccard_join, op7_quality_rules)}
+    return {f.__name__: f for f in (op1_mixing, op3_sentencepiece, op4_jaccard_join, op7_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
