@@ -11,6 +11,7 @@ from .jaccard import jaccard_join
 from .mixing import copies
 from .pieces import encode
 from .quality import judge
+from .secrets import scan
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,8 +45,12 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op3_sentencepiece, op4_jaccard_join, op7_quality_rules)}
+    return {f.__name__: f for f in (op1_mixing, op3_sentencepiece, op4_jaccard_join, op7_quality_rules, op9_secret_scans)}
 
 
 def oracle_sql() -> dict[str, str]:
