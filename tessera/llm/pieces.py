@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
+from .scratch import ship
 
 MARK = "▁"
 #: Remembered segments of a worker in each of two generations; and characters from which merging uses a heap.
@@ -244,6 +245,7 @@ def encode(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "tex
     bytes. decoded is the library's decode(ids). Null and empty texts have no pieces. Repeated rows give repeated rows,
     an empty table none; only the columns named are read. Bytes that aren't UTF-8 count as U+FFFD.
     """
+    ship(docs.sparkSession)
     name = model.rsplit("/", 1)[-1]
     docs.sparkSession.sparkContext.addFile(model)
     kept = len(keep)

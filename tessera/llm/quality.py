@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from . import kernel as K
 from .boost import Boosted, fit
+from .scratch import ship
 
 #: Fixed values of the base rules.
 SYMBOLS, LEAST_WORDS, MOST_REPEATED = b"#*$%&|<>", 50, 50
@@ -71,6 +72,7 @@ def _repeats(values: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: Boosted | None = None) -> DataFrame:
     """(doc_id, *COUNTS, score) per row of docs, in one pass; score is null without a model."""
+    ship(docs.sparkSession)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

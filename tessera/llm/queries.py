@@ -4,14 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import chat, pii, sharding
 from .jaccard import jaccard_join
 from .mixing import copies
 from .pieces import encode
 from .quality import judge
 from .secrets import scan
+from .substrings import deduplicate
+from .vptree import nearest
+
+#: The shards of op8.
+SHARDS = [f"shard-{i:02d}" for i in range(64)]
+#: A conversation whose texts look like the template.
+TRICKY = "\\### Assistant: </turn> ok"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +30,13 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies(_table(spark, sf_dir, "documents"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = deduplicate(_table(spark, sf_dir, "documents"))
+    spans = F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
+    gone = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return rows.select("doc_id", F.size("removed").cast("long").alias("n_removed"), gone.alias("removed_chars"), spans.alias("removed_spans"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def piece_model() -> str:
     import public_tokenizers
 
@@ -33,7 +48,7 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = F.size("ids").cast("long")
     return rows.select(
         "doc_id", pieces.alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
-        F.coalesce(F.element_at("ends", -1), F.lit(0)).cast("long").alias("n_source_bytes"),
+        F.coalesce(F.try_element_at("ends", F.lit(-1)), F.lit(0)).cast("long").alias("n_source_bytes"),
     )
 
 
@@ -41,17 +56,67 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(_table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tricky = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(TRICKY).alias("text"))
+    rows = chat.format_chats(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(tricky))
+    rows = rows.select("conv_id", chat.read_back(F.col("formatted")).alias("turns"), chat.loss_text(F.col("formatted"), F.col("loss")).alias("learnt"), F.length("formatted").cast("long").alias("formatted_chars"))
+    whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return rows.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"), F.length("learnt").cast("long").alias("loss_chars"), F.sha2("learnt", 256).alias("loss_sha256"), "formatted_chars")
+
+
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pii.find(_table(spark, sf_dir, "documents"))
+
+    def joined(spans: str) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return rows.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.place(_table(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARDS)
+
+
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(_table(spark, sf_dir, "documents"))
 
 
+def op10_vantage_point_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op3_sentencepiece, op4_jaccard_join, op7_quality_rules, op9_secret_scans)}
+    found = (op1_mixing, op2_substring_dedup, op3_sentencepiece, op4_jaccard_join, op5_chat_formatting, op6_personal_data, op7_quality_rules, op8_sharding, op9_secret_scans, op10_vantage_point_trees)
+    return {f.__name__: f for f in found}
+
+
+_CHAT_SQL = f"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations
+  UNION ALL SELECT -7, n, CASE WHEN n = 0 THEN 'user' ELSE 'assistant' END, '{TRICKY}' FROM range(2) s(n)
+), w AS (
+  SELECT *, coalesce(lag(r) OVER (PARTITION BY conv_id ORDER BY turn, r, t) = r, false) AS same,
+         length(t) + length(t) - length(replace(replace(replace(t, '<', ''), '#', ''), '\\', '')) AS written FROM c
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY turn, r, t)) AS turns_sha256,
+       CAST(coalesce(sum(length(t)) FILTER (WHERE r = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(t, '' ORDER BY turn, r, t) FILTER (WHERE r = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(written + CASE WHEN same THEN {len(chat.NEXT)} ELSE {len(chat.HEAD + chat.COLON + chat.END)} + length(r) END) AS BIGINT) AS formatted_chars
+FROM w GROUP BY conv_id
+"""
+
+_SHARD_SQL = f"""
+WITH t AS (SELECT string_split('{",".join(map(str, sharding.lookup_table(SHARDS)))}', ',') AS slots),
+ d AS (SELECT doc_id, CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) % {sharding.SLOTS} AS INTEGER) AS slot FROM documents)
+SELECT doc_id, slot, 'shard-' || lpad(slots[slot + 1], 2, '0') AS shard FROM d, t
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_chat_formatting": _CHAT_SQL, "op8_sharding": _SHARD_SQL}

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_shipped: set[str] = set()
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -23,6 +26,18 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, which need not have it installed."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        top = Path(__file__).resolve().parents[1]
+        folder = tempfile.mkdtemp(prefix="tessera-code-")  # Spark's file server reads from it as long as the driver runs
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        shutil.copytree(top, Path(folder, "zipped", top.name), ignore=shutil.ignore_patterns("__pycache__"))
+        context.addPyFile(shutil.make_archive(f"{folder}/{top.name}-shipped", "zip", f"{folder}/zipped"))
+        _shipped.add(context.applicationId)
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: cuts the lineage, survives lost executors and gives Spark the true size."""
     spark = df.sparkSession

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from . import kernel as K
 from .forest import Forest, fit
+from .scratch import ship
 
 #: Of candidates; characters of context on either side; the forest's share from which a candidate is a secret.
 LEAST, DIGITS, CONTEXT, ACCEPT = 16, 2, 48, 0.5
@@ -156,6 +157,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", findings:
 
     Null and empty texts have none; repeated rows give repeated rows, an empty table none; other columns aren't read.
     """
+    ship(docs.sparkSession)
     forest = train(findings)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,6 +178,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", findings:
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "<secret>", findings: list[tuple[str, str, str, int]] | None = None) -> DataFrame:
     """docs with each secret replaced by mark; null stays null. A column n_chars, if there is one, follows the text."""
+    ship(docs.sparkSession)
     forest = train(findings)
 
     @F.arrow_udf("string")
