@@ -2,7 +2,7 @@
 
 Every text becomes the set of its word n-grams, as 64-bit values in ascending order: one global order for all sets.
 The order cuts the value space into parts. Two sets that are similar enough differ in at most D values, so of
-D + 1 + SLACK parts at least 1 + SLACK are equal; sets meet by the content of equal parts, which holds several n-grams
+D + 1 + S parts at least 1 + S are equal; sets meet by the content of equal parts, which holds several n-grams
 each and so keeps texts apart that merely share a passage. D follows the size, in bands of sizes; a set takes part in
 its own band and, if a larger partner could be there, in the next.
 
@@ -20,18 +20,18 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel as K
 from .graph import components
-from .scratch import forget, store
+from .scratch import forget, ship, store
 from .trie import Trie
 
-#: Equal parts beyond the first that similar sets have; a set with more empty parts also meets by those.
-SLACK = 2
 #: Sets in a tile, and bits of the filters that are broadcast: both bound memory whatever the input.
 TILE, FILTER_BITS = 256, 1 << 24
+#: Nodes of a connected group of meetings up to which it is compared as a whole, and not key by key.
+GROUP = 16 * TILE
 
 
 def ngram_sets(buf: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
@@ -67,13 +67,18 @@ def bands(percent: int) -> list[tuple[int, int]]:
     return out
 
 
+def slack(differ: int) -> int:
+    """Equal parts beyond the first that similar sets have. The more, the fewer sets pass that only share a passage. A set with more empty parts than that also meets by those."""
+    return 2 + differ // 4
+
+
 @cache
 def _cuts(parts: int) -> np.ndarray:
     return np.array([(j << 64) // parts for j in range(1, parts)], np.uint64)
 
 
-def part_keys(s: np.ndarray, percent: int) -> np.ndarray:
-    """The keys by which a set meets all sets that are similar but not equal to it."""
+def part_keys(s: np.ndarray, percent: int) -> list[tuple[np.ndarray, int]]:
+    """For the set's own band and the next, the keys by which it meets all sets that are similar but not equal to it, and how many of them it has in common with each of those at least."""
     n, all_bands = len(s), bands(percent)
     own = int(np.searchsorted([b[0] for b in all_bands], n, "right")) - 1
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(K.mix(s + np.uint64(11)))])
@@ -81,14 +86,16 @@ def part_keys(s: np.ndarray, percent: int) -> np.ndarray:
     for band in (own, own + 1):
         low, high = all_bands[band]
         differ = (2 * high - 2) * (100 - percent) // (100 + percent)
-        if not differ or 100 * n < percent * low:
+        if not n or not differ or 100 * n < percent * low:
+            out.append((np.zeros(0, np.uint64), 1))
             continue
-        parts = differ + 1 + SLACK
+        parts = differ + 1 + slack(differ)
         at = np.concatenate([[0], np.searchsorted(s, _cuts(parts)), [n]])
         key = K.mix(sums[at[1:]] - sums[at[:-1]] + _part_seeds(band, parts))
         full = at[1:] > at[:-1]
-        out.append(key if parts - np.count_nonzero(full) > SLACK else key[full])
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+        empty = parts - int(np.count_nonzero(full))
+        out.append((key, parts - differ) if empty >= parts - differ else (key[full], parts - differ - empty))
+    return out
 
 
 @cache
@@ -108,17 +115,26 @@ def _node(s: np.ndarray) -> int:
 
 
 def signatures(docs: DataFrame, doc_id: str, text: str, k: int, percent: int) -> DataFrame:
-    """(doc_id, n_shingles, node, keys) per row of docs; node identifies the set and is null where that is empty."""
+    """(doc_id, n_shingles, node, keys, own, least) per row of docs.
+
+    node identifies the set and is null where that is empty. The first own keys are of the set's band; least has the
+    keys in common with a similar set, by band.
+    """
 
     def each(batches):
         for ids, sets in _texts(batches, k):
-            keys = [part_keys(s, percent) if len(s) else s for s in sets]
+            found = [part_keys(s, percent) for s in sets]
+            keys = [key for two in found for key, _ in two]
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) if len(s) else None for s in sets], pa.int64()), K.lists(np.concatenate(keys).view(np.int64), [len(x) for x in keys], pa.int64())],
-                names=["doc_id", "n_shingles", "node", "keys"],
-            )
+                [
+                    ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) if len(s) else None for s in sets], pa.int64()),
+                    K.lists(np.concatenate(keys).view(np.int64), [len(two[0][0]) + len(two[1][0]) for two in found], pa.int64()),
+                    pa.array([len(two[0][0]) for two in found], pa.int32()), pa.array([[two[0][1], two[1][1]] for two in found], pa.list_(pa.int32())),
+                ],
+                names=["doc_id", "n_shingles", "node", "keys", "own", "least"],
+            )
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(each, "doc_id long, n_shingles long, node long, keys array<long>")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(each, "doc_id long, n_shingles long, node long, keys array<long>, own int, least array<int>")
 
 
 def _filter(df: DataFrame, column: str) -> np.ndarray:
@@ -136,7 +152,10 @@ def _passes(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 def _meetings(sigs: DataFrame) -> DataFrame:
-    """(key, node): the distinct nodes of each key that several nodes have."""
+    """(key, node, band, need, weight): the distinct nodes of each key that several nodes have; weight is the number of such keys of the node in the band, or a few more.
+
+    A node that has fewer of them in a band than a similar set would share with it (need) has no part in the band's.
+    """
     spark = sigs.sparkSession
     several = sigs.select(F.explode("keys").alias("key"), "node").groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b").select("key")
     several = store(several, "keys")
@@ -144,18 +163,31 @@ def _meetings(sigs: DataFrame) -> DataFrame:
 
     def each(batches):
         for batch in batches:
-            keys = batch.column(1)
+            keys, own, least = batch.column(1), batch.column(2).to_numpy(), batch.column(3).flatten().to_numpy()
             size = keys.value_lengths().to_numpy(zero_copy_only=False)
             flat = keys.flatten().to_numpy()
+            row = np.repeat(np.arange(len(size)), size)
+            band = 2 * row + (np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size) >= own[row])
             hit = _passes(bits.value, flat)
-            yield pa.RecordBatch.from_arrays([pa.array(flat[hit], pa.int64()), pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), size)[hit], pa.int64())], names=["key", "node"])
-
-    pairs = sigs.filter("node is not null").select("node", "keys").mapInArrow(each, "key long, node long")
-    out = store(pairs.join(several, "key", "left_semi").distinct(), "meetings")
+            hit &= (np.bincount(band[hit], minlength=2 * len(size)) >= least)[band]
+            kept = np.bincount(band[hit], minlength=2 * len(size))
+            node = np.repeat(batch.column(0).to_numpy(), 2)
+            out = pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.tile(np.arange(2, dtype=np.int32), len(size))), pa.array(least, pa.int32()), K.lists(flat[hit], kept, pa.int64())], names=["node", "band", "need", "keys"])
+            yield out.filter(pa.array(kept > 0))
+
+    rows = sigs.filter("node is not null").select("node", "keys", "own", "least").mapInArrow(each, "node long, band int, need int, keys array<long>")
+    rows = rows.groupBy("node", "band").agg(F.max("need").alias("need"), F.max("keys").alias("keys"))
+    rows = rows.select(F.explode("keys").alias("key"), "node", "band", "need", F.size("keys").alias("weight")).join(several, "key", "left_semi")
+    out = store(_enough(rows), "meetings")
     forget(several)
     return out
 
 
+def _enough(rows: DataFrame) -> DataFrame:
+    """The rows of the nodes that have as many keys in a band as they need there."""
+    return rows.withColumn("__n", F.count("*").over(Window.partitionBy("node", "band"))).filter("__n >= need").drop("__n")
+
+
 def _needed_sets(docs: DataFrame, doc_id: str, text: str, k: int, sigs: DataFrame, meetings: DataFrame) -> DataFrame:
     """(node, grams): the n-grams, as bytes, of each node that meets another."""
     spark = docs.sparkSession
@@ -178,9 +210,8 @@ def _needed_sets(docs: DataFrame, doc_id: str, text: str, k: int, sigs: DataFram
 
 
 def _star_links(meetings: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): each node with the hub it shares most keys with, if the two are similar. The hub of a key is its node in most meetings."""
-    weight = meetings.join(meetings.groupBy("key").count(), "key").groupBy("node").agg(F.sum("count").alias("weight"))
-    hubs = meetings.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", "node")).alias("hub")).select("key", F.col("hub.node").alias("hub"))
+    """(a, b): each node with the hub it shares most keys with, if the two are similar. The hub of a key is its node with the most keys that others have too."""
+    hubs = meetings.groupBy("key").agg(F.max(F.struct("weight", "node")).alias("hub")).select("key", F.col("hub.node").alias("hub"))
     edges = meetings.join(hubs, "key").filter("node <> hub").groupBy("hub", "node").count()
     edges = edges.groupBy("node").agg(F.max(F.struct("count", "hub")).alias("best")).select("node", F.col("best.hub").alias("hub"))
     rows = edges.join(sets, "node").join(sets.select(F.col("node").alias("hub"), F.col("grams").alias("hub_grams")), "hub").select("hub", "hub_grams", "node", "grams")
@@ -232,11 +263,15 @@ def tile_links(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
 
 def _tile_links(meetings: DataFrame, comp: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between nodes that meet but aren't connected by comp."""
-    labelled = meetings.join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
+    labelled = meetings.join(comp, "node", "left").select("key", "node", "band", "need", F.coalesce("comp", "node").alias("comp"))
     split = labelled.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("key", "low")
-    left = store(labelled.join(split, "key"), "unconnected")
-    blocks = components(left.select("low", "comp").distinct(), "low", "comp").select(F.col("node").alias("comp"), F.col("comp").alias("block"))
-    nodes = left.select("node", "comp").distinct().join(blocks, "comp")
+    left = store(_enough(labelled.join(split, "key")).select("key", "node", "low", "comp"), "unconnected")
+    groups = store(components(left.select("low", "comp").distinct(), "low", "comp").select(F.col("node").alias("comp"), F.col("comp").alias("group")), "groups")
+    nodes = left.select("node", "comp").distinct().join(groups, "comp")
+    wide = store(nodes.groupBy("group").agg(F.count("*").alias("n")).filter(F.col("n") > GROUP).select("group"), "wide")
+    whole = nodes.join(wide, "group", "left_anti").select("comp", "node", F.xxhash64(F.lit("group"), "group").alias("block"))
+    apart = left.select("key", "node", "comp").join(groups, "comp").join(wide, "group", "left_semi").select("comp", "node", F.xxhash64(F.lit("key"), "key").alias("block"))
+    nodes = whole.unionByName(apart)
     sizes = nodes.groupBy("block", "comp").agg(F.count("*").alias("n"))
     large = F.col("n") > TILE // 2
     small = sizes.filter(~large).groupBy("block").agg(F.ceil(F.sum("n") / TILE).alias("tiles"))
@@ -261,6 +296,7 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
     are in one component. Other columns, whatever their names, are left alone. An empty table gives no rows.
     Sets are told apart by 64-bit hashes: about n * n / 2**65 false equalities are expected among n n-grams or sets.
     """
+    ship(docs.sparkSession)
     sigs = store(signatures(docs, doc_id, text, k, percent), "signatures")
     meetings = _meetings(sigs)
     sets = _needed_sets(docs, doc_id, text, k, sigs, meetings)
@@ -272,3 +308,9 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
     rows = sigs.select("doc_id", "n_shingles", "node").join(comp, "node", "left").select("doc_id", "n_shingles", F.coalesce("comp", "node").alias("comp"))
     least = rows.filter("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"))
     return rows.join(least, "comp", "left").select("doc_id", "n_shingles", F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs whose doc_id is the smallest of their component, with their columns; all rows without words or doc_id."""
+    kept = jaccard_join(docs, k=k, percent=percent).filter("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
+    return docs.filter("doc_id is not null").join(kept, F.col("doc_id").cast("long") == F.col("__kept"), "left_semi").unionByName(docs.filter("doc_id is null"))
