@@ -118,7 +118,8 @@ def test_columns_and_rows_round_trip(spark):
 
 def test_kmeans_keeps_empty_clusters(spark):
     points = spark.createDataFrame([(i, [float(v)]) for i, v in enumerate((0, 0, 10, 11))], "vec_id long, embedding array<double>")
-    assert cluster.kmeans(points, 2, 3) == [(0, [5.25]), (1, [0.0])]
+    assert cluster.kmeans(points, 2, 1) == [(0, [5.25]), (1, [0.0])]
+    assert cluster.kmeans(points, 2, 3) == [(0, [10.5]), (1, [0.0])]
 
 
 def test_scalar_functions(spark):
