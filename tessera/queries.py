@@ -372,11 +372,12 @@ def a12_bounding_box(spark: SparkSession, d: str) -> DataFrame:
     return lattice(spark).agg(*(F.round(getattr(F, f)(c), 6).alias(f"{f}_{c}") for c in "xyz" for f in ("min", "max")))
 
 
-@_query("WITH " + _lattice() + ", " + _pairs(3.0, True) + _FORCE + " SELECT id, round(sum(fx), 6) AS fx, round(sum(fy), 6) AS fy, round(sum(fz), 6) AS fz FROM s GROUP BY id")
+@_query("WITH " + _lattice() + ", " + _pairs(3.0, True) + _FORCE + " SELECT id, round(sum(fx), 6) + 0.0::DOUBLE AS fx, round(sum(fy), 6) + 0.0::DOUBLE AS fy, round(sum(fz), 6) + 0.0::DOUBLE AS fz FROM s GROUP BY id")
 def a6_pair_forces(spark: SparkSession, d: str) -> DataFrame:
     rows = lattice(spark)
     pairs = J.near_pairs(rows, _SETTINGS.side, _SETTINGS.tolerance * _SETTINGS.cutoff)
-    return particles.forces(rows, pairs, _SETTINGS).select("id", *(F.round(f, 6).alias(f) for f in ("fx", "fy", "fz")))
+    found = particles.forces(rows, pairs, _SETTINGS)
+    return found.select("id", *((F.round(f, 6) + 0.0).alias(f) for f in ("fx", "fy", "fz")))  # 0.0 also for -0.0
 
 
 _HALF = repr(_SETTINGS.step**2 / 2)
