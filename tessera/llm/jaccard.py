@@ -157,8 +157,10 @@ def _meetings(sigs: DataFrame) -> DataFrame:
     A node that has fewer of them in a band than a similar set would share with it (need) has no part in the band's.
     """
     spark = sigs.sparkSession
-    several = sigs.select(F.explode("keys").alias("key"), "node").groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b").select("key")
-    several = store(several, "keys")
+    # 32 bits tell nodes apart in a key; similar sets share several keys, in each of which they would have to agree anew
+    each_key = sigs.select(F.explode("keys").alias("key"), "node").select("key", F.hash("key", "node").alias("mark"))
+    several = each_key.groupBy("key").agg(F.min("mark").alias("a"), F.max("mark").alias("b")).filter("a <> b").select("key")
+    several = store(several, "keys", release=True)
     bits = spark.sparkContext.broadcast(_filter(several, "key"))
 
     def each(batches):
@@ -178,7 +180,7 @@ def _meetings(sigs: DataFrame) -> DataFrame:
     rows = sigs.filter("node is not null").select("node", "keys", "own", "least").mapInArrow(each, "node long, band int, need int, keys array<long>")
     rows = rows.groupBy("node", "band").agg(F.max("need").alias("need"), F.max("keys").alias("keys"))
     rows = rows.select(F.explode("keys").alias("key"), "node", "band", "need", F.size("keys").alias("weight")).join(several, "key", "left_semi")
-    out = store(_enough(rows), "meetings")
+    out = store(_enough(rows), "meetings", release=True)
     forget(several)
     return out
 
@@ -204,7 +206,7 @@ def _needed_sets(docs: DataFrame, doc_id: str, text: str, k: int, sigs: DataFram
             yield pa.RecordBatch.from_arrays([ids, pa.array([_node(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "node", "grams"])
 
     found = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).filter("doc_id is not null").mapInArrow(each, "doc_id long, node long, grams binary")
-    out = store(found.join(rep, ["doc_id", "node"], "left_semi").select("node", "grams").dropDuplicates(["node"]), "sets")
+    out = store(found.join(rep, ["doc_id", "node"], "left_semi").select("node", "grams").dropDuplicates(["node"]), "sets", release=True)
     forget(rep)
     return out
 
@@ -297,16 +299,19 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
     Sets are told apart by 64-bit hashes: about n * n / 2**65 false equalities are expected among n n-grams or sets.
     """
     ship(docs.sparkSession)
-    sigs = store(signatures(docs, doc_id, text, k, percent), "signatures")
-    meetings = _meetings(sigs)
+    keyed = store(signatures(docs, doc_id, text, k, percent), "signatures")
+    sigs = store(keyed.select("doc_id", "n_shingles", "node"), "nodes")
+    meetings = _meetings(keyed)
+    forget(keyed)
     sets = _needed_sets(docs, doc_id, text, k, sigs, meetings)
-    star = store(_star_links(meetings, sets, percent), "links")
-    tiles = store(_tile_links(meetings, components(star, "a", "b"), sets, percent), "links")
+    star = store(_star_links(meetings, sets, percent), "links", release=True)
+    tiles = store(_tile_links(meetings, components(star, "a", "b"), sets, percent), "links", release=True)
     comp = components(star.unionByName(tiles), "a", "b")
     for table in (meetings, sets, star, tiles):
         forget(table)
     rows = sigs.select("doc_id", "n_shingles", "node").join(comp, "node", "left").select("doc_id", "n_shingles", F.coalesce("comp", "node").alias("comp"))
-    least = rows.filter("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"))
+    # stored, so that the join below is one of two plain exchanges, of which Spark can split the large partitions
+    least = store(rows.filter("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least")), "least", release=True)
     return rows.join(least, "comp", "left").select("doc_id", "n_shingles", F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
