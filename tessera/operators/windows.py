@@ -5,24 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.fixpoint import cut
+
+
+def _sorted(df: DataFrame, *order: str | F.Column) -> DataFrame:
+    """df in a total order with the number of each row's partition and its place there; checkpointed, so that both stay what they are."""
+    rows = df.orderBy(*order).withColumn("__part", F.spark_partition_id())
+    return cut(rows.withColumn("__at", F.monotonically_increasing_id() - F.shiftleft(F.col("__part").cast("long"), 33)))
+
+
+def _before(rows: DataFrame, total: F.Column) -> DataFrame:
+    """(__part, __before): the total of all partitions before each; one row a partition meets in one place."""
+    sizes = rows.groupBy("__part").agg(total.alias("__n"))
+    return sizes.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+
 
 def numbered(df: DataFrame, *order: str | F.Column, name: str = "pos") -> DataFrame:
     """df with the number of each row in a total order, from 0: a range-partitioned sort, the rows of each partition counted, their offsets added.
 
     No partition is wider than its range; only one count for each partition meets in one place.
     """
-    ordered = df.orderBy(*order).withColumn("__part", F.spark_partition_id())
-    ordered = ordered.withColumn("__at", F.monotonically_increasing_id() - F.shiftleft(F.col("__part").cast("long"), 33))
-    sizes = ordered.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = sizes.select(F.col("__part"), F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    return ordered.join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + F.col("__at")).drop("__part", "__at", "__before")
+    rows = _sorted(df, *order)
+    return rows.join(F.broadcast(_before(rows, F.count("*"))), "__part").withColumn(name, F.col("__before") + F.col("__at")).drop("__part", "__at", "__before")
 
 
 def csr(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, offset, partners): each source's sorted partners, and how many partners come before."""
     lists = edges.groupBy(F.col(src).alias("node")).agg(F.array_sort(F.collect_list(dst)).alias("partners"))
-    before = Window.orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
-    return lists.select("node", F.coalesce(F.sum(F.size("partners")).over(before), F.lit(0)).alias("offset"), "partners")
+    rows = _sorted(lists, "node")
+    within = Window.partitionBy("__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("__within", F.coalesce(F.sum(F.size("partners")).over(within), F.lit(0)))
+    before = _before(rows.select("__part", "partners"), F.sum(F.size("partners")))
+    return rows.join(F.broadcast(before), "__part").select("node", (F.col("__before") + F.col("__within")).alias("offset"), "partners")
 
 
 def csr_edges(lists: DataFrame) -> DataFrame:
