@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes handled at once; spans longer than LONG are hashed one by one.
-WINDOW, LONG = 1 << 21, 1 << 16
+WINDOW, LONG = 1 << 19, 1 << 16
 #: The bytes that separate words.
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 IS_WORD = np.ones(256, bool)

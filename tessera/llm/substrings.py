@@ -80,7 +80,7 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     found = picked.mapInArrow(digests, "digest long, doc_id long, number int")
     first = found.groupBy("digest").agg(F.min(F.struct("doc_id", "number")).alias("a"), F.max(F.struct("doc_id", "number")).alias("b"))
-    first = store(first.filter("a <> b").select("digest", F.col("a.doc_id").alias("first_doc"), F.col("a.number").alias("first_number")), "digests")
+    first = store(first.filter("a <> b").select("digest", F.col("a.doc_id").alias("first_doc"), F.col("a.number").alias("first_number")), "digests", release=True)
     bits = spark.sparkContext.broadcast(_filter(first, "digest"))
 
     def likely(batches):
@@ -92,11 +92,13 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             columns = [ids[of[k]].astype(np.int64), number[k].astype(np.int32), points[starts[k]] - base, points[ends[k]] - base, words[k], digest[k]]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc_id", "number", "start", "end", "n_words", "digest"])
 
-    later = picked.mapInArrow(likely, "doc_id long, number int, start long, end long, n_words long, digest long").dropDuplicates(["doc_id", "number"])
-    later = later.join(first, "digest").filter((F.col("doc_id") != F.col("first_doc")) | (F.col("number") != F.col("first_number")))
-    island = F.col("number") - F.row_number().over(Window.partitionBy("doc_id").orderBy("number"))
+    later = picked.mapInArrow(likely, "doc_id long, number int, start long, end long, n_words long, digest long").join(first, "digest")
+    later = later.filter((F.col("doc_id") != F.col("first_doc")) | (F.col("number") != F.col("first_number")))
+    order = Window.partitionBy("doc_id").orderBy("number")  # serves all that follows: a document's units are dealt once
+    later = later.withColumn("again", F.coalesce(F.lag("number").over(order) == F.col("number"), F.lit(False))).filter("NOT again")
+    island = F.col("number") - F.row_number().over(order)
     spans = later.withColumn("island", island).groupBy("doc_id", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_units"), F.sum("n_words").alias("n_words"))
-    out = store(spans.filter(F.col("n_words") >= run).drop("island"), "spans")
+    out = store(spans.filter(F.col("n_words") >= run).drop("island"), "spans", release=True)
     forget(first)
     return out
 
@@ -107,7 +109,7 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", run
     doc_id names a document: rows that share one share their spans. A null doc_id takes no part; null and empty texts
     have no units and stay. A document that only repeats earlier ones keeps an empty text. An empty table gives none.
     """
-    spans = repeated_spans(docs, doc_id, text, run).groupBy(F.col("doc_id").alias("__id")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("removed"))
+    spans = repeated_spans(docs, doc_id, text, run).groupBy(F.col("doc_id").alias("__id")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("removed")).hint("merge")  # one plan at every size
 
     @F.arrow_udf("string")
     def cut(texts: pa.Array, removed: pa.Array) -> pa.Array:
