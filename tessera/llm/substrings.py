@@ -1,9 +1,8 @@
 """Substring deduplication by hashing sentences and lines.
 
 Units are cut at newlines and after sentence ends, A-Z count as a-z and white space doesn't count. Digests are grouped
-globally; the occurrence with the smallest (doc_id, start) stays. Of the others, those go that lie in a run of adjacent
-repeated units with RUN words or more, so a passage is found wherever it stands in a line while a common short sentence
-alone stays.
+globally; the occurrence with the smallest (doc_id, start) stays and all others go, adjacent ones as one span. A greater
+run than RUN keeps those in spans of fewer words.
 """
 
 from __future__ import annotations
@@ -19,8 +18,8 @@ from . import kernel as K
 from .jaccard import _filter, _passes
 from .scratch import forget, ship, store
 
-#: Words of a run of repeated units from which it is removed.
-RUN = 25
+#: Words of a run of repeated units from which it is removed: any.
+RUN = 1
 _END = np.zeros(256, bool)
 _END[list(b".!?")] = True
 
@@ -104,7 +103,7 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", run: int = RUN) -> DataFrame:
-    """docs with the text without repeated runs, and removed: the array of (start, end) in the original text.
+    """docs with the text without repeated units, and removed: the array of (start, end) in the original text.
 
     doc_id names a document: rows that share one share their spans. A null doc_id takes no part; null and empty texts
     have no units and stay. A document that only repeats earlier ones keeps an empty text. An empty table gives none.

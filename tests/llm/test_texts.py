@@ -246,6 +246,15 @@ def test_substrings_equal_a_plain_version(spark):
     assert any(s for s, _ in want.values()) and substrings.deduplicate(docs(spark, [])).collect() == []
 
 
+def test_every_later_occurrence_of_a_unit_goes(spark):
+    inner = [f"s{i} " + " ".join(f"w{i}x{j}" for j in range(10)) + "." for i in range(2)]
+    passage = "b " * 15 + "b. " + " ".join(inner) + " " + "c " * 15 + "c"  # 54 words, of which whole units have 22
+    texts = ["All rights reserved.\nOne.", "Two. all  rights reserved. Three.", f"x y {passage} z.", f"other {passage} words follow.", "Two.\nTwo."]
+    got = {r.doc_id: r for r in substrings.deduplicate(docs(spark, texts)).collect()}
+    assert {i: ([(s.start, s.end) for s in r.removed], r.text) for i, r in got.items()} == plain_dedup(dict(enumerate(texts)), 1)
+    assert got[1].text == "Two.  Three." and not any(u in got[3].text for u in inner) and got[4].text == ""
+
+
 # op 3
 
 
