@@ -191,22 +191,27 @@ def _enough(rows: DataFrame) -> DataFrame:
 
 
 def _needed_sets(docs: DataFrame, doc_id: str, text: str, k: int, sigs: DataFrame, meetings: DataFrame) -> DataFrame:
-    """(node, grams): the n-grams, as bytes, of each node that meets another."""
+    """(node, grams): the n-grams, as bytes, of each node that meets another. A node that only rows without a doc_id have is looked for among all of those."""
     spark = docs.sparkSession
     rep = store(sigs.select("doc_id", "node").join(meetings.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "reps")
-    bits = spark.sparkContext.broadcast(_filter(rep, "doc_id"))
+    bits = spark.sparkContext.broadcast((_filter(rep.filter("doc_id is not null"), "doc_id"), _filter(rep.filter("doc_id is null"), "node")))
 
     def each(batches):
+        numbered, others = bits.value
+
         def kept():
             for batch in batches:
-                ids = batch.column(0).to_numpy(zero_copy_only=False)
-                yield batch.filter(pa.array(_passes(bits.value, ids)))
+                ids = batch.column(0)
+                yield batch.filter(pa.array(_passes(numbered, ids.fill_null(0).to_numpy()) | ids.is_null().to_numpy(zero_copy_only=False)))
 
         for ids, sets in _texts(kept(), k):
-            yield pa.RecordBatch.from_arrays([ids, pa.array([_node(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "node", "grams"])
+            node = np.array([_node(s) for s in sets], np.int64)
+            out = pa.RecordBatch.from_arrays([ids, pa.array(node), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "node", "grams"])
+            yield out.filter(pa.array(_passes(others, node) | ids.is_valid().to_numpy(zero_copy_only=False)))
 
-    found = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).filter("doc_id is not null").mapInArrow(each, "doc_id long, node long, grams binary")
-    out = store(found.join(rep, ["doc_id", "node"], "left_semi").select("node", "grams").dropDuplicates(["node"]), "sets", release=True)
+    found = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(each, "doc_id long, node long, grams binary")
+    found = found.join(rep.select(F.col("node").alias("__node"), F.col("doc_id").alias("__id")), (F.col("node") == F.col("__node")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    out = store(found.select("node", "grams").dropDuplicates(["node"]), "sets", release=True)
     forget(rep)
     return out
 
@@ -294,8 +299,8 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
 
     Two texts link when 100 * intersection >= percent * union of their sets of k-word n-grams; component_id is the
     smallest doc_id that links reach. A text without words, or null, links with nothing and is its own component.
-    A row with a null doc_id is in the component of the rows with an equal text, or in none (null). Repeated rows and ties
-    are in one component. Other columns, whatever their names, are left alone. An empty table gives no rows.
+    A row with a null doc_id links like any other; a component of only such rows has no number (null). Repeated rows and
+    ties are in one component. Other columns, whatever their names, are left alone. An empty table gives no rows.
     Sets are told apart by 64-bit hashes: about n * n / 2**65 false equalities are expected among n n-grams or sets.
     """
     ship(docs.sparkSession)

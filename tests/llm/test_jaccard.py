@@ -73,6 +73,16 @@ def test_empty_table_and_repeated_rows(spark):
     assert sorted(r.doc_id for r in J.keep_one(twice.withColumn("extra", twice.text)).filter("doc_id is not null").collect()) == [1, 1, 2]
 
 
+def test_near_copies_without_doc_id_link(spark):
+    w = [f"w{i}" for i in range(60)]
+    near = [" ".join(w[:i] + ["x"] + w[i + 1 :]) for i in (1, 58)]
+    lone = [" ".join(f"{c}{i}" for i in range(60)) + e for c, e in (("u", " y"), ("u", ""))]
+    rows = [(7, " ".join(w)), (None, near[0]), (None, near[0]), (9, near[1]), (None, lone[0]), (None, lone[1]), (None, ""), (None, None)]
+    got = J.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), k=4, percent=85).collect()
+    want = [(7, 57, 7), (None, 57, 7), (None, 57, 7), (9, 57, 7), (None, 58, None), (None, 57, None), (None, 0, None), (None, 0, None)]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
 def test_parts_meet_for_every_similar_pair():
     rng = np.random.default_rng(5)
     for _ in range(300):
