@@ -1,8 +1,8 @@
 """Secret scans: candidates found by their characters over the whole text, and a random forest that removes false ones.
 
-A candidate is a maximal run of LEAST characters or more of the alphabets of keys, with at least DIGITS digits, or one
-that begins with a known prefix. The forest sees its length, the transitions between kinds of characters, how much of
-it a dictionary covers, whether it looks like a path, and the words around it. It is trained from labelled findings:
+A candidate is a run of LEAST characters or more of the alphabets of keys, or one of any length after a word that
+announces secrets. The forest sees its length and digits, the transitions between kinds of characters, how much of it a
+dictionary covers, whether it looks like words or a path, and the words around it. It is trained from labelled findings:
 a table (before, candidate, after, secret), by default one that labelled_findings() makes.
 """
 
@@ -23,8 +23,8 @@ from . import kernel as K
 from .forest import Forest, fit
 from .scratch import ship
 
-#: Of candidates; characters of context on either side; the forest's share from which a candidate is a secret.
-LEAST, DIGITS, CONTEXT, ACCEPT = 16, 2, 48, 0.5
+#: Characters of candidates that nothing announces; characters of context on either side; the forest's share from which a candidate is a secret.
+LEAST, CONTEXT, ACCEPT = 16, 48, 0.5
 #: Starts of well-known keys, words that announce secrets, words that announce other strings, and common parts of names.
 PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "ghs_", "github_pat_", "glpat-", "xoxb-", "xoxp-", "sk_live_", "sk_test_", "rk_live_", "AIza", "ya29.", "eyJ", "npm_", "pypi-", "SG.")
 ANNOUNCE = ("token", "secret", "password", "passwd", "pwd", "apikey", "api_key", "api-key", "key", "auth", "authorization", "bearer", "credential", "private", "access")
@@ -32,11 +32,10 @@ OTHERWISE = ("commit", "sha1", "sha256", "sha512", "md5", "digest", "checksum",
 NAMES = ("the", "and", "this", "that", "with", "your", "here", "user", "name", "data", "file", "test", "main", "home", "http", "www", "com", "org", "index", "image", "page", "post", "static", "asset", "build", "lib", "src", "local", "config", "version", "example", "sample", "change", "replace", "document", "report", "model", "train", "class", "value", "table", "node", "list", "item", "date", "time", "year", "info", "html", "json", "yaml")
 _CHARS = np.zeros(256, bool)
 _CHARS[list((string.ascii_letters + string.digits + "+/_-=.").encode())] = True
-_DIGIT = np.zeros(256, bool)
-_DIGIT[list(string.digits.encode())] = True
 _PREFIX = re.compile("|".join(map(re.escape, PREFIXES)))
 _NAMES = re.compile("|".join(sorted(NAMES, key=len, reverse=True)))
 _WORD = re.compile(r"[a-z_][a-z0-9_-]*")
+_VALUE = re.compile(rb"(?:" + "|".join(sorted(ANNOUNCE, key=len, reverse=True)).encode() + rb")(?:[\"'`]?\s{0,4}(?:[:=]{1,2}>?|\sis\s)|(?<=bearer)\s)\s{0,4}[\"'`]?")
 
 
 def candidates(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -50,14 +49,15 @@ def candidates(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     begins[1:] &= ~run[:-1] | first[1:-1]
     ends[:-1] &= ~run[1:] | first[1:-1]
     starts, stops = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    long = stops - starts >= LEAST
-    starts, stops = starts[long], stops[long]
-    digits = np.concatenate([[0], np.cumsum(_DIGIT[buf])])
-    good = digits[stops] - digits[starts] >= DIGITS
-    for i in np.flatnonzero(~good):
-        good[i] = _PREFIX.match(buf[starts[i] : starts[i] + 16].tobytes().decode("latin-1")) is not None
-    starts, stops = starts[good], stops[good]
-    return starts, stops, np.searchsorted(offsets, starts, "right") - 1
+    if not len(starts):
+        return (np.zeros(0, np.int64),) * 3
+    found = np.array([m.span() for m in _VALUE.finditer(K.LOWER[buf].tobytes())], np.int64).reshape(-1, 2)
+    found = found[np.searchsorted(offsets, found[:, 0], "right") == np.searchsorted(offsets, found[:, 1], "right"), 1]
+    found = found[run[np.minimum(found, len(buf) - 1)] & (found < len(buf))]
+    cut = np.union1d(starts, found)  # a run is cut where an announced value begins in it: name=value
+    stops = np.minimum(stops[np.searchsorted(starts, cut, "right") - 1], np.append(cut[1:], len(buf)))
+    good = (stops - cut >= LEAST) | np.isin(cut, found)
+    return cut[good], stops[good], np.searchsorted(offsets, cut[good], "right") - 1
 
 
 def features(before: str, candidate: str, after: str) -> list[float]:
@@ -77,7 +77,7 @@ def features(before: str, candidate: str, after: str) -> list[float]:
         candidate.count("/") / n, candidate.count(".") / n, candidate.count("-") / n, float(bool(re.search(r"\.[a-z]{2,4}$", low))), float(before.rstrip().endswith(("/", ":", "//"))),
         float(any(w in near for w in ANNOUNCE)), float(any(w in left for w in OTHERWISE)), float(any(w in right for w in OTHERWISE)), float(bool(re.search(r"[=:]\s*[\"'`]?$", before))), float(bool(before) and before[-1] in "\"'`"),
         float(all(c in "0123456789abcdef" for c in low)), float(_PREFIX.match(candidate) is not None), float(bool(re.fullmatch(r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", low))), float(counts[2] > 0.9),
-        len(set(candidate)) / n,
+        len(set(candidate)) / n, float(counts[2] * n), sum(map(low.count, "aeiou")) / n, float(max(map(len, re.findall(r"[b-df-hj-np-tv-z]+", low)), default=0)), float(candidate[1:] != low[1:] and candidate[1:].upper() != candidate[1:]),
     ]
 
 
@@ -93,6 +93,7 @@ def labelled_findings(n: int = 3000, seed: int = 5) -> list[tuple[str, str, str,
     """(before, candidate, after, secret), about half of them secrets, made by rule."""
     rng, out = random.Random(seed), []
     word = lambda: "".join(rng.choice(("the", "an", "er", "ti", "on", "re", "ou", "st", "le", "qu")) for _ in range(rng.randint(1, 4)))
+    prose = lambda a, b: "".join(rng.choice(("b", "c", "d", "f", "g", "h", "l", "m", "n", "p", "r", "s", "st", "t", "th", "v", "w", "z")) + rng.choice("aeiou") + rng.choice(("", "", "n", "r", "s", "t", "ch")) for _ in range(rng.randint(a, b)))
     some = lambda chars, a, b: "".join(rng.choice(chars) for _ in range(rng.randint(a, b)))
     hexa, base = "0123456789abcdef", string.ascii_letters + string.digits
     while len(out) < n:
@@ -105,9 +106,11 @@ def labelled_findings(n: int = 3000, seed: int = 5) -> list[tuple[str, str, str,
             if rng.random() < 0.3:
                 value = rng.choice(PREFIXES) + some(base, 20, 40)
                 before = rng.choice((text, before, text + "Authorization: Bearer "))
+            elif rng.random() < 0.3:
+                value = rng.choice((some(base, 6, 15), some(string.ascii_letters, 8, 40), some(string.ascii_lowercase, 8, 20), some(base, 16, 24)))
             out.append((before, value, quote + after, 1))
         else:
-            kind = rng.randrange(9)
+            kind = rng.randrange(15)
             value, before = some(string.digits, 16, 20), text
             if kind == 0:
                 value, before = some(hexa, 40, 40), text + rng.choice(("commit ", "revision ", "sha1 ", "hash: "))
@@ -127,7 +130,18 @@ def labelled_findings(n: int = 3000, seed: int = 5) -> list[tuple[str, str, str,
                 before = text + rng.choice(("token = ", "", "password: "))
             elif kind == 7:
                 value = some(string.digits, 2, 2) + "." + word() + "-" + word() + "." + word() + some(string.digits, 4, 6) + ".example"
-            out.append((before, value[:200].ljust(LEAST, "0"), after, 0))
+            elif kind in (9, 10):
+                value = rng.choice((prose(1, 4).capitalize(), prose(1, 4), prose(1, 4), word(), rng.choice(NAMES), rng.choice(("a", "to", "is", "of", "not", "none", "null", "true"))))
+                before = text + rng.choice(ANNOUNCE) + rng.choice((": ", " is ", " = ", "="))
+            elif kind in (11, 12):
+                value = rng.choice(("", "-", "_", ".", "/")).join(prose(2, 4) for _ in range(rng.randint(5, 8)))
+                before = text + rng.choice(("", "", "http://", "key: "))
+            elif kind == 13:
+                value = rng.choice("-=_.") * rng.randint(LEAST, 80)
+            elif kind == 14:
+                value = "".join(prose(2, 4).capitalize() for _ in range(rng.randint(4, 6)))
+            value = value[:200] if kind in (9, 10) else value[:200].ljust(LEAST, "0")
+            out.append((before, value, after, 0))
     return out
 
 

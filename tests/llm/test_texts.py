@@ -207,6 +207,16 @@ def test_scan_and_redact(spark):
 # op 2
 
 
+def test_keys_without_digits_and_short_announced_ones_reach_the_forest(spark):
+    keys = ["qZxWvKpLmTrBnGhJdSfC", "kTq7ZwXpLmVbRnGhJdSf", "hG7kQz2x", "QwZxkTpVbnRm"]
+    texts = [f"token = {keys[0]} and so on", f"api_key: '{keys[1]}'", f'password = "{keys[2]}"', f"pwd={keys[3]}", "a plain text without any, the key", "secret:"]
+    rows = {r.doc_id: r for r in secrets.scan(docs(spark, texts)).collect()}
+    assert [rows[i].n_candidates for i in range(len(texts))] == [1, 1, 1, 1, 0, 0]
+    assert [[texts[i][s.start : s.end] for s in rows[i].secrets] for i in range(4)] == [[k] for k in keys]
+    buf, offsets = K.utf8(pa.array(["the token: ", "next", "token=ab", "", "x" * 16]))
+    assert [x.tolist() for x in secrets.candidates(buf, offsets)] == [[21, 23], [23, 39], [2, 4]]
+
+
 def plain_dedup(texts: dict, least: int) -> dict:
     found, first = {}, {}
     for i in sorted(texts):
