@@ -94,7 +94,8 @@ def part_keys(s: np.ndarray, percent: int) -> list[tuple[np.ndarray, int]]:
         key = K.mix(sums[at[1:]] - sums[at[:-1]] + _part_seeds(band, parts))
         full = at[1:] > at[:-1]
         empty = parts - int(np.count_nonzero(full))
-        out.append((key, parts - differ) if empty >= parts - differ else (key[full], parts - differ - empty))
+        # a similar set with fewer empty parts has none of their keys: only one common key is sure
+        out.append((key, 1) if empty >= parts - differ else (key[full], parts - differ - empty))
     return out
 
 

@@ -101,6 +101,19 @@ def test_parts_meet_for_every_similar_pair():
                         assert hit >= need
 
 
+def test_small_similar_sets_have_the_keys_they_need():
+    rng = np.random.default_rng(6)
+    for _ in range(3000):
+        n, percent = int(rng.integers(4, 9)), int(rng.choice((60, 80, 85)))
+        start = rng.integers(0, 1 << 64, 2, np.uint64) >> np.uint64(1)
+        a = np.unique(rng.choice(start, n) + rng.integers(0, 1 << 40, n).astype(np.uint64))  # few parts are full
+        b = np.unique(np.append(a, rng.integers(0, 1 << 64, 1, np.uint64)))
+        if 100 * len(a) >= percent * len(b):
+            x, y = J.part_keys(a, percent), J.part_keys(b, percent)
+            need = [(len(set(p.tolist()) & set(q.tolist())), m, n) for p, m in x for q, n in y]
+            assert any(c and c >= m and c >= n for c, m, n in need), (a, b, percent)
+
+
 def test_trie_finds_what_brute_force_finds():
     rng = np.random.default_rng(9)
     base = np.unique(rng.integers(0, 1 << 60, 200).astype(np.uint64))
