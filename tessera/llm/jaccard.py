@@ -1,37 +1,39 @@
 """N-gram Jaccard self-join of texts through prefix trees.
 
-Every text becomes the set of its word n-grams, as 64-bit values in ascending order: one global order for all sets.
-The order cuts the value space into parts. Two sets that are similar enough differ in at most D values, so of
-D + 1 + S parts at least 1 + S are equal; sets meet by the content of equal parts, which holds several n-grams
-each and so keeps texts apart that merely share a passage. D follows the size, in bands of sizes; a set takes part in
-its own band and, if a larger partner could be there, in the next.
-
-Sets that meet are compared in prefix trees (trie.py): first each set with the best connected set of its parts, which
-joins groups of copies at linear cost, then, in tiles of bounded size, whatever meets and isn't connected yet.
-Equal texts are one node all along. Nothing is capped: each pair that can be similar is compared or already connected.
+Every text becomes the set of its word n-grams, as 64-bit values; equal sets are one node all along. Sets of sizes
+a <= b that link have at least o = percent * (a + b) / (100 + percent) values in common, so each misses few of the
+other's. From that follow three exact filters, each over less than the one before:
+
+1. Of a set's smallest values (a bottom sketch, as long as the values it may miss and SPARE more), linked sets share
+   a sure number. A set with fewer values that any other set shows has no partner and is left out. This is the only
+   pass over all sets.
+2. The sets left are counted whole: each value by the sets that hold it. The global order of values is rarest first;
+   in it, the first value two linked sets have in common lies within the first that either may miss. These prefixes
+   are the top of the prefix tree: sets meet in the shard of a value, under bounds by sizes, remaining lengths and
+   the number of values that any other set holds, too.
+3. What meets is searched in tries of the whole sets (trie.py): first each set with the best connected set it meets,
+   which joins groups of copies at linear cost, then whatever meets within the bounds and isn't connected yet.
+
+Nothing is capped: each pair that can be similar is compared or already connected.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel as K
+from .filters import bit_filter, passes
 from .graph import components
 from .scratch import forget, ship, store
 from .trie import Trie
 
-#: Sets in a tile, and bits of the filters that are broadcast: both bound memory whatever the input.
-TILE, FILTER_BITS = 256, 1 << 24
-#: Nodes of a connected group of meetings up to which it is compared as a whole, and not key by key.
-GROUP = 16 * TILE
+#: One value to spare in the bottom sketches for so many that a set may miss. The more, the longer the sketches and the fewer sets pass that share passages only.
+SPARE = 2
 
 
 def ngram_sets(buf: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
@@ -56,243 +58,182 @@ def ngram_sets(buf: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]
     return out
 
 
-@cache
-def bands(percent: int) -> list[tuple[int, int]]:
-    """Sizes from and below, so that similar sets lie in the same band or in neighbouring ones."""
-    ratio, out, low = max(1.5, 120 / percent), [], 1
-    while low < 1 << 40:
-        high = max(low + 1, math.floor(low * ratio))
-        out.append((low, high))
-        low = high
-    return out
-
-
-def slack(differ: int) -> int:
-    """Equal parts beyond the first that similar sets have. The more, the fewer sets pass that only share a passage. A set with more empty parts than that also meets by those."""
-    return 2 + differ // 4
+def _ceil(x, y):
+    return -(-x // y)
 
 
-@cache
-def _cuts(parts: int) -> np.ndarray:
-    return np.array([(j << 64) // parts for j in range(1, parts)], np.uint64)
+def sketch_bounds(n: np.ndarray, percent: int) -> tuple[np.ndarray, ...]:
+    """By the size of a set: the values in its sketch, those in the part of it that meets larger sets, and the values shared with any linked set at least, where that is larger (in that part) and where it isn't.
 
+    With m(n) the values that a set of n misses at most of a linked one that is smaller, e(n) of one that is larger and
+    l(n) the spare ones, the first l(a) common values of sets of sizes a <= b lie in the first e(a) + l(a) of one and in
+    the first m(b) + l(b) of the other, as l doesn't fall. Sets that can only link with equal ones have no sketch.
+    """
+    n = np.asarray(n, np.int64)
 
-def part_keys(s: np.ndarray, percent: int) -> list[tuple[np.ndarray, int]]:
-    """For the set's own band and the next, the keys by which it meets all sets that are similar but not equal to it, and how many of them it has in common with each of those at least."""
-    n, all_bands = len(s), bands(percent)
-    own = int(np.searchsorted([b[0] for b in all_bands], n, "right")) - 1
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(K.mix(s + np.uint64(11)))])
-    out = []
-    for band in (own, own + 1):
-        low, high = all_bands[band]
-        differ = (2 * high - 2) * (100 - percent) // (100 + percent)
-        if not n or not differ or 100 * n < percent * low:
-            out.append((np.zeros(0, np.uint64), 1))
-            continue
-        parts = differ + 1 + slack(differ)
-        at = np.concatenate([[0], np.searchsorted(s, _cuts(parts)), [n]])
-        key = K.mix(sums[at[1:]] - sums[at[:-1]] + _part_seeds(band, parts))
-        full = at[1:] > at[:-1]
-        empty = parts - int(np.count_nonzero(full))
-        # a similar set with fewer empty parts has none of their keys: only one common key is sure
-        out.append((key, 1) if empty >= parts - differ else (key[full], parts - differ - empty))
-    return out
-
+    def spare(size):
+        least = _ceil(percent * size, 100)
+        return np.maximum(1, np.minimum((size - least) // SPARE, least))
 
-@cache
-def _part_seeds(band: int, parts: int) -> np.ndarray:
-    return K.seeds(parts, 1000 + band)
+    least = _ceil(percent * n, 100)
+    misses, small = n - least, n - _ceil(2 * percent * n, 100 + percent)
+    whole, part = np.minimum(n, misses + spare(n)), np.minimum(n, small + spare(n))
+    able = (misses > 0) | (100 * n // percent > n)
+    return np.where(able, whole, 0), part, spare(n), spare(least)
 
 
-def _texts(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
+def _texts(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Runs of rows, with the sets of their last column."""
     for batch in batches:
-        buf, offsets = K.utf8(batch.column(1))
+        buf, offsets = K.utf8(batch.column(batch.num_columns - 1))
         for i, j in K.runs(offsets):
-            yield batch.column(0).slice(i, j - i), ngram_sets(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k)
+            yield batch.slice(i, j - i), ngram_sets(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k)
 
 
 def _node(s: np.ndarray) -> int:
     return int(K.mix(K.mix(s + np.uint64(11)).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(s)))[0].view(np.int64))
 
 
-def signatures(docs: DataFrame, doc_id: str, text: str, k: int, percent: int) -> DataFrame:
-    """(doc_id, n_shingles, node, keys, own, least) per row of docs.
+def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, row, text): row tells rows apart by these two columns."""
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
 
-    node identifies the set and is null where that is empty. The first own keys are of the set's band; least has the
-    keys in common with a similar set, by band.
-    """
-
-    def each(batches):
-        for ids, sets in _texts(batches, k):
-            found = [part_keys(s, percent) for s in sets]
-            keys = [key for two in found for key, _ in two]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) if len(s) else None for s in sets], pa.int64()),
-                    K.lists(np.concatenate(keys).view(np.int64), [len(two[0][0]) + len(two[1][0]) for two in found], pa.int64()),
-                    pa.array([len(two[0][0]) for two in found], pa.int32()), pa.array([[two[0][1], two[1][1]] for two in found], pa.list_(pa.int32())),
-                ],
-                names=["doc_id", "n_shingles", "node", "keys", "own", "least"],
-            )
-
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(each, "doc_id long, n_shingles long, node long, keys array<long>, own int, least array<int>")
-
-
-def _filter(df: DataFrame, column: str) -> np.ndarray:
-    """A bit for each value of column modulo FILTER_BITS: 2 MB however large the table; false positives are joined away later."""
-    slot = F.col(column).bitwiseAND(F.lit(FILTER_BITS - 1))
-    words = df.select(F.shiftright(slot, 6).alias("word"), F.expr(f"shiftleft(1L, cast(`{column}` & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(FILTER_BITS // 64, np.uint64)
-    out[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
-    return out
 
+def signatures(docs: DataFrame, doc_id: str, text: str, k: int, percent: int) -> DataFrame:
+    """(doc_id, row, n_shingles, node, keys) per row of docs: node identifies the set and is null where that is empty, keys is its sketch."""
 
-def _passes(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
-    slot = values & np.int64(FILTER_BITS - 1)
-    return (bits[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) != 0
+    def each(batches):
+        for rows, sets in _texts(batches, k):
+            size = np.array([len(s) for s in sets], np.int64)
+            keys = [s[:n] for s, n in zip(sets, sketch_bounds(size, percent)[0], strict=True)]
+            node = pa.array([_node(s) if len(s) else None for s in sets], pa.int64())
+            flat = np.concatenate([np.zeros(0, np.uint64), *keys]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(size), node, K.lists(flat, [len(s) for s in keys], pa.int64())], names=["doc_id", "row", "n_shingles", "node", "keys"])
 
+    return _rows(docs, doc_id, text).mapInArrow(each, "doc_id long, row long, n_shingles long, node long, keys array<long>")
 
-def _meetings(sigs: DataFrame) -> DataFrame:
-    """(key, node, band, need, weight): the distinct nodes of each key that several nodes have; weight is the number of such keys of the node in the band, or a few more.
 
-    A node that has fewer of them in a band than a similar set would share with it (need) has no part in the band's.
-    """
+def _alive(sigs: DataFrame, percent: int) -> DataFrame:
+    """(node): the sets of which enough values of the sketch are in the sketches of others."""
     spark = sigs.sparkSession
-    # 32 bits tell nodes apart in a key; similar sets share several keys, in each of which they would have to agree anew
-    each_key = sigs.select(F.explode("keys").alias("key"), "node").select("key", F.hash("key", "node").alias("mark"))
-    several = each_key.groupBy("key").agg(F.min("mark").alias("a"), F.max("mark").alias("b")).filter("a <> b").select("key")
-    several = store(several, "keys", release=True)
-    bits = spark.sparkContext.broadcast(_filter(several, "key"))
+    each_key = sigs.select(F.explode("keys").alias("key"), "node")
+    several = store(each_key.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b").select("key"), "keys")
+    bits = spark.sparkContext.broadcast(bit_filter(several, "key"))
 
     def each(batches):
         for batch in batches:
-            keys, own, least = batch.column(1), batch.column(2).to_numpy(), batch.column(3).flatten().to_numpy()
+            n, keys = batch.column(1).to_numpy(), batch.column(2)
             size = keys.value_lengths().to_numpy(zero_copy_only=False)
             flat = keys.flatten().to_numpy()
             row = np.repeat(np.arange(len(size)), size)
-            band = 2 * row + (np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size) >= own[row])
-            hit = _passes(bits.value, flat)
-            hit &= (np.bincount(band[hit], minlength=2 * len(size)) >= least)[band]
-            kept = np.bincount(band[hit], minlength=2 * len(size))
-            node = np.repeat(batch.column(0).to_numpy(), 2)
-            out = pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.tile(np.arange(2, dtype=np.int32), len(size))), pa.array(least, pa.int32()), K.lists(flat[hit], kept, pa.int64())], names=["node", "band", "need", "keys"])
-            yield out.filter(pa.array(kept > 0))
-
-    rows = sigs.filter("node is not null").select("node", "keys", "own", "least").mapInArrow(each, "node long, band int, need int, keys array<long>")
-    rows = rows.groupBy("node", "band").agg(F.max("need").alias("need"), F.max("keys").alias("keys"))
-    rows = rows.select(F.explode("keys").alias("key"), "node", "band", "need", F.size("keys").alias("weight")).join(several, "key", "left_semi")
-    out = store(_enough(rows), "meetings", release=True)
+            _, part, small, large = sketch_bounds(n, percent)
+            hit = passes(bits.value, flat)
+            low = hit & (np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size) < part[row])
+            all_hits, low_hits = np.bincount(row[hit], minlength=len(size)), np.bincount(row[low], minlength=len(size))
+            good = (all_hits >= large) | (low_hits >= small)
+            hit &= good[row]
+            columns = [batch.column(0), pa.array(np.where(low_hits >= small, small, 1 << 62)), pa.array(large), pa.array(low_hits, pa.int32()), K.lists(flat[hit], np.where(good, all_hits, 0), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "small", "large", "low", "keys"]).filter(pa.array(good))
+
+    likely = sigs.filter("node is not null and size(keys) > 0").select("node", "n_shingles", "keys").mapInArrow(each, "node long, small long, large long, low int, keys array<long>").dropDuplicates(["node"])
+    rows = likely.select("node", "small", "large", "low", F.posexplode("keys").alias("pos", "key")).join(several, "key", "left_semi")
+    counted = rows.groupBy("node").agg(F.max("small").alias("small"), F.max("large").alias("large"), F.count("*").alias("n"), F.count_if(F.col("pos") < F.col("low")).alias("n_low"))
+    out = store(counted.filter("n >= large or n_low >= small").select("node"), "alive")
     forget(several)
     return out
 
 
-def _enough(rows: DataFrame) -> DataFrame:
-    """The rows of the nodes that have as many keys in a band as they need there."""
-    return rows.withColumn("__n", F.count("*").over(Window.partitionBy("node", "band"))).filter("__n >= need").drop("__n")
-
-
-def _needed_sets(docs: DataFrame, doc_id: str, text: str, k: int, sigs: DataFrame, meetings: DataFrame) -> DataFrame:
-    """(node, grams): the n-grams, as bytes, of each node that meets another. A node that only rows without a doc_id have is looked for among all of those."""
-    spark = docs.sparkSession
-    rep = store(sigs.select("doc_id", "node").join(meetings.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "reps")
-    bits = spark.sparkContext.broadcast((_filter(rep.filter("doc_id is not null"), "doc_id"), _filter(rep.filter("doc_id is null"), "node")))
+def _whole_sets(docs: DataFrame, doc_id: str, text: str, k: int, sigs: DataFrame, alive: DataFrame) -> DataFrame:
+    """(node, n, grams): the whole sets of the nodes of alive, made again from one row of each."""
+    rep = store(sigs.join(alive, "node", "left_semi").groupBy("node").agg(F.min("row").alias("row")), "reps")
+    bits = docs.sparkSession.sparkContext.broadcast(bit_filter(rep, "row"))
 
     def each(batches):
-        numbered, others = bits.value
+        picked = (batch.filter(pa.array(passes(bits.value, batch.column(0).to_numpy()))) for batch in batches)
+        for _, sets in _texts(picked, k):
+            sets = [s for s in sets if len(s)]
+            flat = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
+            size = [len(s) for s in sets]
+            yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in sets], pa.int64()), pa.array(size, pa.int64()), K.lists(flat, size, pa.int64())], names=["node", "n", "grams"])
+
+    found = _rows(docs, doc_id, text).select("row", "text").mapInArrow(each, "node long, n long, grams array<long>").dropDuplicates(["node"])
+    out = store(found.join(rep.select("node"), "node", "left_semi"), "sets")
+    forget(rep)
+    return out
 
-        def kept():
-            for batch in batches:
-                ids = batch.column(0)
-                yield batch.filter(pa.array(_passes(numbered, ids.fill_null(0).to_numpy()) | ids.is_null().to_numpy(zero_copy_only=False)))
 
-        for ids, sets in _texts(kept(), k):
-            node = np.array([_node(s) for s in sets], np.int64)
-            out = pa.RecordBatch.from_arrays([ids, pa.array(node), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "node", "grams"])
-            yield out.filter(pa.array(_passes(others, node) | ids.is_valid().to_numpy(zero_copy_only=False)))
+def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(gram, node, n, shared, rank): the places of each set among the first values, rarest first, one of which it has in common with any linked set.
 
-    found = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(each, "doc_id long, node long, grams binary")
-    found = found.join(rep.select(F.col("node").alias("__node"), F.col("doc_id").alias("__id")), (F.col("node") == F.col("__node")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    out = store(found.select("node", "grams").dropDuplicates(["node"]), "sets", release=True)
-    forget(rep)
+    shared counts the values of the set that another one holds; rank is the place among all its values, from 0.
+    """
+    grams = sets.select(F.explode("grams").alias("gram"), "node", "n")
+    several = store(grams.groupBy("gram").agg(F.count("*").alias("df")).filter("df > 1"), "grams")
+    rows = grams.join(several, "gram")
+    own = Window.partitionBy("node")  # as many rows as the text has n-grams
+    rows = rows.withColumn("shared", F.count("*").over(own)).withColumn("rank", F.col("n") - F.col("shared") + F.row_number().over(own.orderBy("df", "gram")) - 1)
+    least = F.expr(f"({percent} * n + 99) div 100")
+    out = store(rows.filter((F.col("shared") >= least) & (F.col("rank") <= F.col("n") - least)).select("gram", "node", "n", "shared", "rank"), "prefixes")
+    forget(several)
     return out
 
 
-def _star_links(meetings: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): each node with the hub it shares most keys with, if the two are similar. The hub of a key is its node with the most keys that others have too."""
-    hubs = meetings.groupBy("key").agg(F.max(F.struct("weight", "node")).alias("hub")).select("key", F.col("hub.node").alias("hub"))
-    edges = meetings.join(hubs, "key").filter("node <> hub").groupBy("hub", "node").count()
-    edges = edges.groupBy("node").agg(F.max(F.struct("count", "hub")).alias("best")).select("node", F.col("best.hub").alias("hub"))
-    rows = edges.join(sets, "node").join(sets.select(F.col("node").alias("hub"), F.col("grams").alias("hub_grams")), "hub").select("hub", "hub_grams", "node", "grams")
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): those pairs that are similar. The sets that meet one probe a lie in one trie, as far as they come in one batch."""
+    probes = sets.select(F.col("node").alias("a"), F.col("grams").alias("probe"))
+    rows = pairs.join(sets.select(F.col("node").alias("b"), "grams"), "b").join(probes, "a").select("a", "probe", "b", "grams")
+
+    def values(column: pa.ListArray) -> list[np.ndarray]:
+        at, flat = column.offsets.to_numpy(), column.values.to_numpy().view(np.uint64)
+        return [flat[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
 
     def each(batches):
         for batch in batches:
-            hub, node = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-            cuts = [0, *(np.flatnonzero(hub[1:] != hub[:-1]) + 1).tolist(), len(hub)]
-            a, b = [], []
-            for i, j in zip(cuts, cuts[1:], strict=False):
-                if i < j:
-                    trie = Trie([np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(3).slice(i, j - i)])
-                    for x in trie.search(np.frombuffer(batch.column(1)[i].as_buffer(), np.uint64), percent):
-                        a.append(hub[i])
-                        b.append(node[i + x])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            a, b = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            probe, grams = values(batch.column(1)), values(batch.column(3))
+            cuts = [0, *(np.flatnonzero(a[1:] != a[:-1]) + 1).tolist(), len(a)]
+            found = [i + x for i, j in zip(cuts, cuts[1:], strict=False) if i < j for x in Trie(grams[i:j]).search(probe[i], percent)]
+            yield pa.RecordBatch.from_arrays([pa.array(a[found], pa.int64()), pa.array(b[found], pa.int64())], names=["a", "b"])
 
     return rows.mapInArrow(each, "a long, b long")
 
 
-class _Union:
-    def __init__(self):
-        self.up: dict[int, int] = {}
-
-    def root(self, x: int) -> int:
-        while (y := self.up.get(x, x)) != x:
-            self.up[x] = x = self.up.get(y, y)
-        return x
-
-    def join(self, x: int, y: int) -> bool:
-        x, y = self.root(x), self.root(y)
-        self.up[max(x, y)] = min(x, y)
-        return x != y
-
-
-def tile_links(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Links that join what isn't joined: within one tile, or between the two tiles of a pair (side 0 and 1)."""
-    union, out = _Union(), []
-    sides = [pdf[pdf.side == s] for s in (0, 1)]
-    trees = sides[1] if len(sides[1]) else sides[0]
-    trie = Trie([np.frombuffer(x, np.uint64) for x in trees.grams])
-    node, comp = trees.node.to_numpy(), trees.comp.to_numpy()
-    for x, c, grams in zip(sides[0].node, sides[0].comp, sides[0].grams, strict=True):
-        for i in trie.search(np.frombuffer(grams, np.uint64), percent):
-            if union.join(int(c), int(comp[i])):
-                out.append((x, node[i]))
-    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-
-def _tile_links(meetings: DataFrame, comp: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between nodes that meet but aren't connected by comp."""
-    labelled = meetings.join(comp, "node", "left").select("key", "node", "band", "need", F.coalesce("comp", "node").alias("comp"))
-    split = labelled.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("key", "low")
-    left = store(_enough(labelled.join(split, "key")).select("key", "node", "low", "comp"), "unconnected")
-    groups = store(components(left.select("low", "comp").distinct(), "low", "comp").select(F.col("node").alias("comp"), F.col("comp").alias("group")), "groups")
-    nodes = left.select("node", "comp").distinct().join(groups, "comp")
-    wide = store(nodes.groupBy("group").agg(F.count("*").alias("n")).filter(F.col("n") > GROUP).select("group"), "wide")
-    whole = nodes.join(wide, "group", "left_anti").select("comp", "node", F.xxhash64(F.lit("group"), "group").alias("block"))
-    apart = left.select("key", "node", "comp").join(groups, "comp").join(wide, "group", "left_semi").select("comp", "node", F.xxhash64(F.lit("key"), "key").alias("block"))
-    nodes = whole.unionByName(apart)
-    sizes = nodes.groupBy("block", "comp").agg(F.count("*").alias("n"))
-    large = F.col("n") > TILE // 2
-    small = sizes.filter(~large).groupBy("block").agg(F.ceil(F.sum("n") / TILE).alias("tiles"))
-    place = sizes.join(small, "block", "left").select("comp", "block", large.alias("large"), F.when(large, F.ceil(F.col("n") / TILE)).otherwise(F.col("tiles")).cast("long").alias("tiles"))
-    tile = F.pmod(F.when(F.col("large"), F.xxhash64("node")).otherwise(F.xxhash64("comp")), F.col("tiles"))
-    nodes = store(nodes.join(place, ["block", "comp"]).select("block", "comp", "node", F.struct(F.when(F.col("large"), F.col("comp")).alias("own"), tile.alias("no")).alias("tile")), "nodes")
-    tiles = nodes.select("block", "tile").distinct()
-    other = tiles.withColumnRenamed("tile", "other")
-    pairs = tiles.join(other, "block").filter((F.col("tile") <= F.col("other")) & ~F.coalesce(F.col("tile.own") == F.col("other.own"), F.lit(False)))
-    sides = F.when(F.col("tile") == F.col("other"), F.array(F.struct(F.col("tile").alias("at"), F.lit(0).alias("side")))).otherwise(F.array(F.struct(F.col("tile").alias("at"), F.lit(0).alias("side")), F.struct(F.col("other").alias("at"), F.lit(1).alias("side"))))
-    pairs = pairs.select("block", F.xxhash64("block", "tile", "other").alias("pair"), F.inline(sides)).withColumnRenamed("at", "tile")
-    rows = pairs.join(nodes, ["block", "tile"]).select("pair", "side", "node", "comp").join(sets, "node")
-    return rows.groupBy("pair").applyInPandas(lambda pdf: tile_links(pdf, percent), "a long, b long")
+def _star_pairs(prefixes: DataFrame) -> DataFrame:
+    """(a, b): each node b with the hub a that it meets most often. The hub of a value is its set with the largest share of values that others hold."""
+    hubs = prefixes.groupBy("gram").agg(F.max_by("node", F.col("shared") / F.col("n")).alias("a"))
+    met = prefixes.join(hubs, "gram").filter("node <> a").groupBy("node", "a").agg(F.count("*").alias("times"))
+    return met.groupBy(F.col("node").alias("b")).agg(F.max_by("a", "times").alias("a")).select("a", "b")
+
+
+def _open_pairs(prefixes: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the pairs of sets, a the smaller, that meet within the bounds and that comp doesn't connect."""
+    labelled = prefixes.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    split = labelled.groupBy("gram").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("gram")
+    left = store(labelled.join(split, "gram", "left_semi"), "open")
+    small = left.filter(f"rank <= n - (2 * {percent} * n + {99 + percent}) div {100 + percent}")
+    least = F.expr(f"({percent} * (s.n + t.n) + {99 + percent}) div {100 + percent}")
+    within = (least <= F.least("s.shared", "t.shared")) & (F.col("s.rank") <= F.col("s.n") - least) & (F.col("t.rank") <= F.col("t.n") - least)
+    first = F.expr("s.n < t.n or s.n = t.n and s.node < t.node")
+    met = small.alias("s").join(left.alias("t"), (F.col("s.gram") == F.col("t.gram")) & F.expr("s.comp <> t.comp") & first & within)
+    return met.select(F.col("s.node").alias("a"), F.col("t.node").alias("b")).distinct()
+
+
+def similar_sets(docs: DataFrame, doc_id: str, text: str, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, row, n_shingles, node) per row of docs, and (node, comp) of the nodes that link with another."""
+    ship(docs.sparkSession)
+    keyed = store(signatures(docs, doc_id, text, k, percent), "signatures")
+    sigs = store(keyed.drop("keys"), "nodes")
+    alive = _alive(keyed, percent)
+    forget(keyed)
+    sets = _whole_sets(docs, doc_id, text, k, sigs, alive)
+    prefixes = _prefixes(sets, percent)
+    star = store(_verified(_star_pairs(prefixes), sets, percent), "links")
+    comp = components(star, "a", "b")
+    rest = store(_verified(store(_open_pairs(prefixes, comp, percent), "pairs"), sets, percent), "links")
+    comp = components(comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(rest), "a", "b")
+    for table in (alive, sets, prefixes, star, rest):
+        forget(table)
+    return sigs, comp
 
 
 def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -304,24 +245,23 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
     ties are in one component. Other columns, whatever their names, are left alone. An empty table gives no rows.
     Sets are told apart by 64-bit hashes: about n * n / 2**65 false equalities are expected among n n-grams or sets.
     """
-    ship(docs.sparkSession)
-    keyed = store(signatures(docs, doc_id, text, k, percent), "signatures")
-    sigs = store(keyed.select("doc_id", "n_shingles", "node"), "nodes")
-    meetings = _meetings(keyed)
-    forget(keyed)
-    sets = _needed_sets(docs, doc_id, text, k, sigs, meetings)
-    star = store(_star_links(meetings, sets, percent), "links", release=True)
-    tiles = store(_tile_links(meetings, components(star, "a", "b"), sets, percent), "links", release=True)
-    comp = components(star.unionByName(tiles), "a", "b")
-    for table in (meetings, sets, star, tiles):
-        forget(table)
-    rows = sigs.select("doc_id", "n_shingles", "node").join(comp, "node", "left").select("doc_id", "n_shingles", F.coalesce("comp", "node").alias("comp"))
+    sigs, comp = similar_sets(docs, doc_id, text, k, percent)
+    rows = sigs.join(comp, "node", "left").select("doc_id", "n_shingles", F.coalesce("comp", "node").alias("comp"))
     # stored, so that the join below is one of two plain exchanges, of which Spark can split the large partitions
-    least = store(rows.filter("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least")), "least", release=True)
+    least = store(rows.filter("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least")), "least")
     return rows.join(least, "comp", "left").select("doc_id", "n_shingles", F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of their component, with their columns; all rows without words or doc_id."""
-    kept = jaccard_join(docs, k=k, percent=percent).filter("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.filter("doc_id is not null").join(kept, F.col("doc_id").cast("long") == F.col("__kept"), "left_semi").unionByName(docs.filter("doc_id is null"))
+    """One row of docs for each component, that with the smallest doc_id (null comes last), with its columns.
+
+    Rows without words, or with a null text, are in no component and all stay. Of rows with the same doc_id and text one
+    stays, whatever their other columns. An empty table gives an empty one. A column named __row would be dropped.
+    """
+    sigs, comp = similar_sets(docs, "doc_id", "text", k, percent)
+    rows = sigs.filter("node is not null").join(comp, "node", "left").select(F.coalesce("comp", "node").alias("comp"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row").alias("first"))
+    kept = rows.groupBy("comp").agg(F.min("first").alias("first")).select(F.col("first.row").alias("__row")).distinct()
+    names, worded = docs.columns, F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    ours = docs.filter(worded).withColumn("__row", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    ours = ours.join(store(kept, "kept"), "__row", "left_semi").dropDuplicates(["__row"])
+    return ours.select(*(F.col(f"`{c}`") for c in names)).unionByName(docs.filter(~worded))

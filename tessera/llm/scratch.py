@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import shutil
 import tempfile
 import uuid
@@ -28,7 +27,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, which need not have it installed, and bound the session's Arrow batches."""
+    """Send this package to the executors, which need not have it installed, and bound the session's Arrow batches where the caller hasn't."""
     context = spark.sparkContext
     if context.applicationId not in _shipped:
         top = Path(__file__).resolve().parents[1]
@@ -37,26 +36,21 @@ def ship(spark: SparkSession) -> None:
         shutil.copytree(top, Path(folder, "zipped", top.name), ignore=shutil.ignore_patterns("__pycache__"))
         context.addPyFile(shutil.make_archive(f"{folder}/{top.name}-shipped", "zip", f"{folder}/zipped"))
         _shipped.add(context.applicationId)
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        for name, most in (("maxBytesPerBatch", BATCH_BYTES), ("maxRecordsPerBatch", BATCH_ROWS)):
+            if spark.conf.get(f"spark.sql.execution.arrow.{name}", None) is None:
+                spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
 
 #: Most bytes and rows of an Arrow batch: texts differ widely in length.
 BATCH_BYTES, BATCH_ROWS = 16 << 20, 4096
 
 
-def store(df: DataFrame, name: str, release: bool = False) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: cuts the lineage, survives lost executors and gives Spark the true size.
-
-    release lets Spark delete the shuffle files of finished steps now, and not when the driver happens to collect garbage.
-    """
+def store(df: DataFrame, name: str) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back: cuts the lineage, survives lost executors and gives Spark the true size."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tessera-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
-    if release:
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

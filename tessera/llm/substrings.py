@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .jaccard import _filter, _passes
+from .filters import bit_filter, passes
 from .scratch import forget, ship, store
 
 #: Words of a run of repeated units from which it is removed: any.
@@ -79,13 +79,13 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     found = picked.mapInArrow(digests, "digest long, doc_id long, number int")
     first = found.groupBy("digest").agg(F.min(F.struct("doc_id", "number")).alias("a"), F.max(F.struct("doc_id", "number")).alias("b"))
-    first = store(first.filter("a <> b").select("digest", F.col("a.doc_id").alias("first_doc"), F.col("a.number").alias("first_number")), "digests", release=True)
-    bits = spark.sparkContext.broadcast(_filter(first, "digest"))
+    first = store(first.filter("a <> b").select("digest", F.col("a.doc_id").alias("first_doc"), F.col("a.number").alias("first_number")), "digests")
+    bits = spark.sparkContext.broadcast(bit_filter(first, "digest"))
 
     def likely(batches):
         for ids, buf, at, (of, number, starts, ends, words, digest) in _each_run(batches):
             digest = digest.view(np.int64)
-            k = _runs_of(of, number, words, _passes(bits.value, digest), run)
+            k = _runs_of(of, number, words, passes(bits.value, digest), run)
             points = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])
             base = points[at[of[k]]]
             columns = [ids[of[k]].astype(np.int64), number[k].astype(np.int32), points[starts[k]] - base, points[ends[k]] - base, words[k], digest[k]]
@@ -97,7 +97,7 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     later = later.withColumn("again", F.coalesce(F.lag("number").over(order) == F.col("number"), F.lit(False))).filter("NOT again")
     island = F.col("number") - F.row_number().over(order)
     spans = later.withColumn("island", island).groupBy("doc_id", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_units"), F.sum("n_words").alias("n_words"))
-    out = store(spans.filter(F.col("n_words") >= run).drop("island"), "spans", release=True)
+    out = store(spans.filter(F.col("n_words") >= run).drop("island"), "spans")
     forget(first)
     return out
 
