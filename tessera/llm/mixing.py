@@ -61,7 +61,7 @@ def _fold(items: str) -> str:
 
 
 def copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = (5, 2, 1), cap: float = 3) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken) per row of docs: how often the mix takes the row, and its words.
+    """(doc_id, size, source_size, target, taken, source, copies) per row of docs: how often the mix takes the row, and its words.
 
     Sizes are in words; a null text has none. Rows that agree in doc_id, source and size are decided alike. A null
     source is a source, a null doc_id an id. Rows without words get no fractional copy. An empty table gives no rows.
@@ -99,11 +99,16 @@ def copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
         more = taken.join(keys, same).select("s", "i", "z", F.lit(1).alias("more"))
         rows = rows.join(more, F.col("source").eqNullSafe(F.col("s")) & F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("size") == F.col("z")), "left")
     rows = rows.withColumn("copies", (whole + F.coalesce("more", F.lit(0))).cast("long"))
-    return rows.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3) -> DataFrame:
-    """The rows of docs, each as often as copies() says, with their columns."""
+    """The rows of docs, each as often as copies() says, with their columns; rows that it takes zero times go.
+
+    Null sources and doc_ids count as values, rows without words (or with a null text) are taken as often as their
+    source's whole copies say, repeated rows each alike. An empty table gives an empty one. Columns may have any names but
+    __i, __s, __z, __n, __size and __copy.
+    """
     often = copies(docs, weights=weights, cap=cap).filter("copies > 0").select(F.col("doc_id").alias("__i"), F.col("source").alias("__s"), F.col("size").alias("__z"), F.col("copies").alias("__n")).distinct()
     names = docs.columns
     rows = docs.withColumn("__size", word_count(F.col("text").cast("string")))

@@ -102,7 +102,7 @@ def failed():
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", quality: str = "quality", most: int = LABELLED) -> Boosted | None:
-    """Trees for quality = 1, fitted on at most so many labelled rows, of those that the base rules keep; None if these are of one kind or none."""
+    """Trees for quality = 1, fitted on the labelled rows with the smallest hashes of doc_id, of which most bounds the number (twice that many texts, where doc_ids repeat), of those that the base rules keep; None if these are of one kind or none."""
     sample = labels.filter(F.col(quality).isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(quality).cast("int").alias("label"))
     sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(most)
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).join(F.broadcast(sample), "doc_id", "left_semi")
@@ -115,18 +115,23 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
 
 def judge(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = LABELLED) -> DataFrame:
-    """(doc_id, *COUNTS, score, base_failed, kept) per row of docs.
+    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, then the other COUNTS and score) per row of docs.
 
     A null text counts as empty and fails, as do texts of under 50 words or with over half of their words in 3-word
     windows found twice. Other texts are kept unless the trees' log odds are below REJECT_BELOW; without labels of both
     kinds, all are kept (score null). Repeated rows are judged alike; ties, extra columns and empty tables need no care.
     """
     scored = statistics(docs, doc_id, text, train(docs, labels, doc_id, text, most=most))
-    return scored.withColumn("base_failed", failed()).withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("score") >= REJECT_BELOW, F.lit(True)))
+    judged = scored.withColumn("base_failed", failed()).withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("score") >= REJECT_BELOW, F.lit(True)))
+    first = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return judged.select(*first, *(c for c in judged.columns if c not in first))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> DataFrame:
-    """The rows of docs that judge() keeps, with their columns; nothing is shuffled."""
+    """The rows of docs that judge() keeps, with their columns; nothing of them is shuffled.
+
+    Null and empty texts go, as the base rules say; repeated rows stay or go alike; an empty table gives an empty one.
+    """
     model = train(docs, labels, most=most)
 
     @F.arrow_udf("boolean")

@@ -13,6 +13,7 @@ import re
 import string
 from collections.abc import Iterator
 from functools import cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -191,7 +192,11 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", findings:
 
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "<secret>", findings: list[tuple[str, str, str, int]] | None = None) -> DataFrame:
-    """docs with each secret replaced by mark; null stays null. A column n_chars, if there is one, follows the text."""
+    """docs with each secret replaced by mark, and all other columns as they are.
+
+    Null and empty texts stay; repeated rows are changed alike; a text of any length is read whole; an empty table gives
+    an empty one. A column n_chars, if there is one, follows the text.
+    """
     ship(docs.sparkSession)
     forest = train(findings)
 
@@ -199,12 +204,11 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "<secret>", findings
     def clean(texts: pa.Array) -> pa.Array:
         out = texts.to_pylist()
         for i, _, buf, at, found in _scan(texts, forest):
-            for t in {f[0] for f in found if f[3] >= ACCEPT}:
+            for t, spans in groupby((f for f in found if f[3] >= ACCEPT), key=lambda f: f[0]):
                 parts, last = [], at[t]
-                for _, a, b, score in (f for f in found if f[0] == t):
-                    if score >= ACCEPT:
-                        parts += [buf[last:a].tobytes(), mark.encode()]
-                        last = b
+                for _, a, b, _ in spans:
+                    parts += [buf[last:a].tobytes(), mark.encode()]
+                    last = b
                 out[i + t] = b"".join([*parts, buf[last : at[t + 1]].tobytes()]).decode(errors="replace")
         return pa.array(out, pa.string())
 
