@@ -11,30 +11,30 @@ from tessera.llm.scratch import store
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the trees keep."""
+    """Documents that the base rules and the trees keep. Null, empty and short texts go; repeated rows are judged alike."""
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group whose sets of 5-word n-grams are similar to 0.8 or more.
 
-    Documents without words, or without a doc_id, are in no group and stay.
+    A null doc_id comes last; of repeated rows one stays. Documents without words are in no group and stay.
     """
     return jaccard.keep_one(docs)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with a mark in place of each secret."""
+    """All documents, with a mark in place of each secret. Null and empty texts, and repeated rows, stay."""
     return secrets.redact(docs)
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as often as the mix takes them."""
+    """The documents as often as the mix takes them. A null source is one of the sources; a null text has size 0."""
     return mixing.mix(docs)
 
 
 def sentencepiece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, lang, source, n_tokens, ids) per row."""
+    """(doc_id, lang, source, n_tokens, ids) per row; a null or empty text has no ids, repeated rows are encoded alike."""
     rows = pieces.encode(docs, piece_model(), keep=("lang", "source"), spans=False)
     return rows.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
@@ -47,7 +47,7 @@ STAGES = [
     ("SentencePiece encoding and decoding", sentencepiece_encoding),
 ]
 
-#: The trees, the forest and the hashed draws have no SQL; tests/llm compares each stage with a brute-force version.
+#: The trees, the forest and the hashed draws have no SQL; tests/llm compares the stages with brute force or round trips.
 ORACLE_SQL = None
 
 
