@@ -59,3 +59,51 @@ def test_many_shards_and_blocks(spark, monkeypatch):
     for r in V.nearest(df, df.filter("vec_id % 50 = 0")).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append(r.vec_id)
     assert got == {q: [i for i, _ in w] for q, w in want.items()}
+
+
+def test_tiny_and_huge_vectors(spark, monkeypatch):
+    monkeypatch.setattr(V, "SHARD", 60)
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(300, 8))
+    scale = np.ones(300)
+    scale[[3, 50]], scale[[4, 100]], scale[7] = 1e-200, 1e200, 5e-310
+    df = spark.createDataFrame([(i, [float(x) for x in v[i] * scale[i]]) for i in range(300)], "vec_id long, embedding array<double>")
+    want = brute(np.arange(300), v, range(0, 300, 50), 5)
+    got = {}
+    for r in V.nearest(df, df.filter("vec_id % 50 = 0")).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert {q: [i for i, _ in w] for q, w in got.items()} == {q: [i for i, _ in w] for q, w in want.items()}
+    assert all(abs(a[1] - b[1]) < 1e-6 for q in want for a, b in zip(got[q], want[q], strict=True))
+
+
+def test_clusters_and_a_hot_vector(spark, monkeypatch):
+    monkeypatch.setattr(V, "SHARD", 100)
+    monkeypatch.setattr(V, "BLOCK", 4)
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(20, 8))
+    v = centres[rng.integers(0, 20, 1500)] + 0.05 * rng.normal(size=(1500, 8))
+    v[::3] = v[0]
+    df = spark.createDataFrame([(i, [float(x) for x in v[i]]) for i in range(1500)], "vec_id long, embedding array<double>").repartition(3)
+    want = brute(np.arange(1500), v, range(0, 1500, 50), 5)
+    got = {}
+    for r in V.nearest(df, df.filter("vec_id % 50 = 0")).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.score)
+    assert set(got) == set(want) and all(np.allclose(got[q], [s for _, s in want[q]], atol=1e-12) for q in want)
+
+
+def test_compared_share_of_clustered_vectors_and_recall():
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(40, 32))
+    v = centres[rng.integers(0, 40, 6000)] + 0.15 * rng.normal(size=(6000, 32))
+    ids = np.arange(6000)
+    tree, asked = V.build(ids, v), ids[::50]
+    want = brute(ids, v, asked, 5)
+    shares, recalls = [], []
+    for factor in (1.0, 0.5):
+        row, name, _, compared = V.search(tree, asked, v[asked], 5, factor)
+        shares.append(compared / (len(asked) * 6000))
+        recalls.append(sum(n in dict(want[asked[r]]) for r, n in zip(row, name, strict=True)) / (5 * len(asked)))
+    assert recalls[0] == 1 and recalls[1] >= 0.9 and shares[1] <= shares[0] < 0.25, (shares, recalls)
+    best = np.array([want[q][-1][1] for q in asked])
+    _, _, _, fewer = V.search(tree, asked, v[asked], 5, 1.0, best)
+    assert fewer <= shares[0] * len(asked) * 6000 * 1.01
