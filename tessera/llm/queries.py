@@ -18,6 +18,8 @@ from .vptree import nearest
 
 #: The shards of op8.
 SHARDS = [f"shard-{i:02d}" for i in range(64)]
+#: Words of a run of repeated units from which op2 removes it; shorter ones are reported in n_repeated and repeated_spans. Lines and sentences of a few words repeat in most clean texts.
+REMOVED_RUN = 25
 #: A conversation whose texts look like the template.
 TRICKY = "\\### Assistant: </turn> ok"
 
@@ -31,10 +33,16 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = deduplicate(_table(spark, sf_dir, "documents"))
-    spans = F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
+    rows = deduplicate(_table(spark, sf_dir, "documents"), run=REMOVED_RUN)
+
+    def spans(name: str) -> Column:
+        return F.array_join(F.transform(name, lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
+
     gone = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    return rows.select("doc_id", F.size("removed").cast("long").alias("n_removed"), gone.alias("removed_chars"), spans.alias("removed_spans"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    return rows.select(
+        "doc_id", F.size("removed").cast("long").alias("n_removed"), gone.alias("removed_chars"), spans("removed").alias("removed_spans"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
+        F.size("repeated").cast("long").alias("n_repeated"), spans("repeated").alias("repeated_spans"),
+    )
 
 
 def piece_model() -> str:
@@ -120,5 +128,69 @@ SELECT doc_id, slot, 'shard-' || lpad(slots[slot + 1], 2, '0') AS shard FROM d,
 """
 
 
+_SUBSTRING_SQL = f"""
+WITH chars AS (
+  SELECT doc_id, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) AS p FROM documents WHERE doc_id IS NOT NULL AND text <> ''
+), marked AS (
+  SELECT *, ascii(c) IN (32, 9, 10, 11, 12, 13) AS blank FROM chars
+), begun AS (
+  SELECT *, NOT blank AND coalesce(lag(blank) OVER w, true) AS begins, sum(CASE WHEN ascii(c) = 10 THEN 1 ELSE 0 END) OVER w AS line FROM marked WINDOW w AS (PARTITION BY doc_id ORDER BY p)
+), numbered AS (
+  SELECT *, sum(CASE WHEN begins THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS word FROM begun
+), words AS (
+  SELECT doc_id, word, min(p) - 1 AS a, max(p) AS b, min(line) AS line, string_agg(CASE WHEN ascii(c) BETWEEN 65 AND 90 THEN chr(ascii(c) + 32) ELSE c END, '' ORDER BY p) AS w
+  FROM numbered WHERE NOT blank GROUP BY doc_id, word
+), cut AS (
+  SELECT *, CASE WHEN lag(line) OVER o = line AND right(lag(w) OVER o, 1) NOT IN ('.', '!', '?') THEN 0 ELSE 1 END AS first FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY word)
+), placed AS (
+  SELECT *, sum(first) OVER (PARTITION BY doc_id ORDER BY word) AS number FROM cut
+), units AS (
+  SELECT doc_id, number, min(a) AS a, max(b) AS b, count(*) AS n, string_agg(w, ' ' ORDER BY word) AS unit FROM placed GROUP BY doc_id, number
+), later AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY doc_id, number) AS nth FROM units) r WHERE nth > 1
+), islands AS (
+  SELECT *, number - row_number() OVER (PARTITION BY doc_id ORDER BY number) AS island FROM later
+), spans AS (
+  SELECT doc_id, min(a) AS a, max(b) AS b, sum(n) AS n FROM islands GROUP BY doc_id, island
+), gone AS (
+  SELECT doc_id, count(*) AS n_removed, sum(b - a) AS removed_chars, string_agg(a || ':' || b, ',' ORDER BY a) AS removed_spans FROM spans WHERE n >= {REMOVED_RUN} GROUP BY doc_id
+), every AS (
+  SELECT doc_id, count(*) AS n_repeated, string_agg(a || ':' || b, ',' ORDER BY a) AS repeated_spans FROM spans GROUP BY doc_id
+), left_over AS (
+  SELECT c.doc_id, string_agg(c.c, '' ORDER BY c.p) AS kept
+  FROM chars c JOIN gone g USING (doc_id) LEFT JOIN (SELECT * FROM spans WHERE n >= {REMOVED_RUN}) s ON s.doc_id = c.doc_id AND c.p > s.a AND c.p <= s.b WHERE s.a IS NULL GROUP BY c.doc_id
+)
+SELECT d.doc_id, coalesce(g.n_removed, 0) AS n_removed, CAST(coalesce(g.removed_chars, 0) AS BIGINT) AS removed_chars, coalesce(g.removed_spans, '') AS removed_spans,
+       sha256(coalesce(CASE WHEN g.doc_id IS NULL THEN d.text ELSE l.kept END, '')) AS kept_sha256, coalesce(e.n_repeated, 0) AS n_repeated, coalesce(e.repeated_spans, '') AS repeated_spans
+FROM documents d LEFT JOIN gone g ON g.doc_id = d.doc_id LEFT JOIN every e ON e.doc_id = d.doc_id LEFT JOIN left_over l ON l.doc_id = d.doc_id
+"""
+
+_JACCARD_SQL = """
+WITH RECURSIVE t AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
+), grams AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+         ELSE list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]) END) AS g FROM t
+), sets AS (
+  SELECT min(doc_id) AS node, list_sort(g) AS g, list(doc_id) AS ids FROM grams WHERE len(g) > 0 GROUP BY list_sort(g)
+), flat AS (
+  SELECT node, len(g) AS n, unnest(g) AS gram FROM sets
+), links AS (
+  SELECT a.node AS x, b.node AS y FROM flat a JOIN flat b ON a.gram = b.gram AND a.node < b.node
+  GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), both_ways AS (
+  SELECT x, y FROM links UNION ALL SELECT y, x FROM links
+), reach AS (
+  SELECT node AS x, node AS y FROM sets UNION SELECT r.x, l.y FROM reach r JOIN both_ways l ON r.y = l.x
+), comp AS (
+  SELECT x AS node, min(y) AS component_id FROM reach GROUP BY x
+), member AS (
+  SELECT unnest(ids) AS doc_id, node FROM sets
+)
+SELECT g.doc_id, CAST(len(g.g) AS BIGINT) AS n_shingles, coalesce(c.component_id, g.doc_id) AS component_id
+FROM grams g LEFT JOIN member m USING (doc_id) LEFT JOIN comp c ON c.node = m.node
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_formatting": _CHAT_SQL, "op8_sharding": _SHARD_SQL}
+    return {"op2_substring_dedup": _SUBSTRING_SQL, "op4_jaccard_join": _JACCARD_SQL, "op5_chat_formatting": _CHAT_SQL, "op8_sharding": _SHARD_SQL}

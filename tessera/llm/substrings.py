@@ -78,8 +78,8 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             yield pa.RecordBatch.from_arrays([pa.array(digest.view(np.int64)), pa.array(ids[of].astype(np.int64)), pa.array(number.astype(np.int32))], names=["digest", "doc_id", "number"])
 
     found = picked.mapInArrow(digests, "digest long, doc_id long, number int")
-    first = found.groupBy("digest").agg(F.min(F.struct("doc_id", "number")).alias("a"), F.max(F.struct("doc_id", "number")).alias("b"))
-    first = store(first.filter("a <> b").select("digest", F.col("a.doc_id").alias("first_doc"), F.col("a.number").alias("first_number")), "digests")
+    first = found.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n")).filter("n > 1").select("digest", "first_doc")
+    first = store(first, "digests")
     bits = spark.sparkContext.broadcast(bit_filter(first, "digest"))
 
     def likely(batches):
@@ -92,8 +92,9 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc_id", "number", "start", "end", "n_words", "digest"])
 
     later = picked.mapInArrow(likely, "doc_id long, number int, start long, end long, n_words long, digest long").join(first, "digest")
-    later = later.filter((F.col("doc_id") != F.col("first_doc")) | (F.col("number") != F.col("first_number")))
-    order = Window.partitionBy("doc_id").orderBy("number")  # serves all that follows: a document's units are dealt once
+    own = Window.partitionBy("doc_id", "digest").orderBy("number")
+    order = Window.partitionBy("doc_id").orderBy("number")  # a document's units are dealt once for all three windows
+    later = later.withColumn("nth", F.dense_rank().over(own)).filter((F.col("doc_id") != F.col("first_doc")) | (F.col("nth") > 1))
     later = later.withColumn("again", F.coalesce(F.lag("number").over(order) == F.col("number"), F.lit(False))).filter("NOT again")
     island = F.col("number") - F.row_number().over(order)
     spans = later.withColumn("island", island).groupBy("doc_id", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_units"), F.sum("n_words").alias("n_words"))
@@ -103,12 +104,13 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", run: int = RUN) -> DataFrame:
-    """docs with the text without repeated units, and removed: the array of (start, end) in the original text.
+    """docs with the text without repeated units, removed: the array of (start, end) in the original text, and repeated: the array of (start, end, n_words) of all runs of later occurrences.
 
-    doc_id names a document: rows that share one share their spans. A null doc_id takes no part; null and empty texts
-    have no units and stay. A document that only repeats earlier ones keeps an empty text. An empty table gives none.
+    What is removed are the runs of repeated with at least run words; with run 1, all. doc_id names a document: rows that
+    share one share their spans. A null doc_id takes no part; null and empty texts have no units and stay. A document that
+    only repeats earlier ones keeps an empty text. Columns named removed or repeated are replaced; an empty table gives none.
     """
-    spans = repeated_spans(docs, doc_id, text, run).groupBy(F.col("doc_id").alias("__id")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("removed")).hint("merge")  # one plan at every size
+    spans = repeated_spans(docs, doc_id, text).groupBy(F.col("doc_id").alias("__id")).agg(F.array_sort(F.collect_list(F.struct("start", "end", "n_words"))).alias("repeated")).hint("merge")  # one plan at every size
 
     @F.arrow_udf("string")
     def cut(texts: pa.Array, removed: pa.Array) -> pa.Array:
@@ -119,7 +121,9 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", run
                 out[i] = "".join(out[i][a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
         return pa.array(out, pa.string())
 
-    names = [c for c in docs.columns if c != "removed"]
+    names = [c for c in docs.columns if c not in ("removed", "repeated")]
     rows = docs.select(*(F.col(f"`{c}`") for c in names)).join(spans, F.col(doc_id).cast("long") == F.col("__id"), "left")
-    short = F.when(F.col("removed").isNull(), F.col(text)).otherwise(cut(F.col(text).cast("string"), F.col("removed")))
-    return rows.select(*((short.alias(c) if c == text else F.col(f"`{c}`")) for c in names), F.coalesce("removed", F.array().cast("array<struct<start:long,end:long>>")).alias("removed"))
+    rows = rows.withColumn("repeated", F.coalesce("repeated", F.array().cast("array<struct<start:long,end:long,n_words:long>>")))
+    rows = rows.withColumn("removed", F.transform(F.filter("repeated", lambda s: s["n_words"] >= run), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    short = F.when(F.size("removed") == 0, F.col(text)).otherwise(cut(F.col(text).cast("string"), F.col("removed")))
+    return rows.select(*((short.alias(c) if c == text else F.col(f"`{c}`")) for c in names), "removed", "repeated")
