@@ -91,9 +91,9 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             columns = [ids[of[k]].astype(np.int64), number[k].astype(np.int32), points[starts[k]] - base, points[ends[k]] - base, words[k], digest[k]]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc_id", "number", "start", "end", "n_words", "digest"])
 
-    later = picked.mapInArrow(likely, "doc_id long, number int, start long, end long, n_words long, digest long").join(first, "digest")
+    later = picked.mapInArrow(likely, "doc_id long, number int, start long, end long, n_words long, digest long").join(first, "digest").repartition("doc_id")  # dealt by document here, so that Spark may split a digest that many have
     own = Window.partitionBy("doc_id", "digest").orderBy("number")
-    order = Window.partitionBy("doc_id").orderBy("number")  # a document's units are dealt once for all three windows
+    order = Window.partitionBy("doc_id").orderBy("number")
     later = later.withColumn("nth", F.dense_rank().over(own)).filter((F.col("doc_id") != F.col("first_doc")) | (F.col("nth") > 1))
     later = later.withColumn("again", F.coalesce(F.lag("number").over(order) == F.col("number"), F.lit(False))).filter("NOT again")
     island = F.col("number") - F.row_number().over(order)

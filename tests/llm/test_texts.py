@@ -253,9 +253,17 @@ def test_substrings_equal_a_plain_version(spark):
     got = {r.doc_id: r for r in substrings.deduplicate(docs(spark, texts), run=6).collect()}
     want = plain_dedup(dict(enumerate(texts)), 6)
     assert {i: ([(s.start, s.end) for s in r.removed], r.text) for i, r in got.items()} == want
+    assert {i: [(s.start, s.end) for s in r.repeated] for i, r in got.items()} == {i: s for i, (s, _) in plain_dedup(dict(enumerate(texts)), 1).items()}
     assert any(s for s, _ in want.values()) and substrings.deduplicate(docs(spark, [])).collect() == []
 
 
+def test_dedup_of_null_and_repeated_doc_ids(spark):
+    rows = [(1, "A b. C d."), (1, "A b. C d."), (None, "A b."), (2, "c D.\nnew one. New one. new one.")]
+    df = spark.createDataFrame([(i, t, "x", 3) for i, t in rows], "doc_id long, text string, digest string, number int")
+    got = sorted(((r.doc_id, r.text, len(r.repeated)) for r in substrings.deduplicate(df).collect()), key=str)
+    assert got == sorted([(1, "A b. C d.", 0), (1, "A b. C d.", 0), (None, "A b.", 0), (2, "\nnew one. ", 2)], key=str)
+
+
 def test_every_later_occurrence_of_a_unit_goes(spark):
     inner = [f"s{i} " + " ".join(f"w{i}x{j}" for j in range(10)) + "." for i in range(2)]
     passage = "b " * 15 + "b. " + " ".join(inner) + " " + "c " * 15 + "c"  # 54 words, of which whole units have 22
