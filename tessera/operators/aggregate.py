@@ -18,31 +18,38 @@ def key_aggregate(df: DataFrame, key: str = "key", value: str = "value", derived
     return out
 
 
-def scatter_reduce(df: DataFrame, index: str, value: str | Column, op: str, init: Column | float | None = None, name: str = "value") -> DataFrame:
-    """(index, name): the values of each index combined by op, starting from init where that makes a difference.
-
-    add and mul start from init (0 and 1), sub and div take the sum and the product of the values from it; min and max
-    include it if it is given; count_if counts true values.
-    """
-    v = F.col(value) if isinstance(value, str) else value
+def _combined(v: Column, op: str, init: Column | float | None) -> Column:
     start = None if init is None else init if isinstance(init, Column) else F.lit(init)
     total = F.sum(v) if op in ("add", "sub") else F.product(v.cast("double")) if op in ("mul", "div") else None
     if op == "add":
-        out = total if start is None else start + total
-    elif op == "sub":
-        out = (F.lit(0) if start is None else start) - total
-    elif op == "mul":
-        out = total if start is None else start * total
-    elif op == "div":
-        out = (F.lit(1.0) if start is None else start) / F.when(total != 0, total)
-    elif op in ("min", "max"):
+        return total if start is None else start + total
+    if op == "sub":
+        return (F.lit(0) if start is None else start) - total
+    if op == "mul":
+        return total if start is None else start * total
+    if op == "div":
+        return (F.lit(1.0) if start is None else start) / F.when(total != 0, total)
+    if op in ("min", "max"):
         best = F.min(v) if op == "min" else F.max(v)
-        out = best if start is None else (F.least if op == "min" else F.greatest)(best, start)
-    elif op == "count_if":
-        out = F.count_if(v)
-    else:
-        raise ValueError(f"{op} is none of {OPERATIONS}")
-    return df.groupBy(F.col(index).alias(index)).agg(out.alias(name))
+        return best if start is None else (F.least if op == "min" else F.greatest)(best, start)
+    if op == "count_if":
+        return F.count_if(v)
+    raise ValueError(f"{op} is none of {OPERATIONS}")
+
+
+def scatter_reduces(df: DataFrame, index: str, wanted: dict[str, tuple[str | Column, str, Column | float | None]]) -> DataFrame:
+    """(index, *names): for each name (value, op, init), the values of each index combined by op, all in one aggregate.
+
+    add and mul start from init (0 and 1), sub and div take the sum and the product of the values from it; min and max
+    include it if it is given; count_if counts true values.
+    """
+    found = [_combined(F.col(v) if isinstance(v, str) else v, op, init).alias(name) for name, (v, op, init) in wanted.items()]
+    return df.groupBy(F.col(index).alias(index)).agg(*found)
+
+
+def scatter_reduce(df: DataFrame, index: str, value: str | Column, op: str, init: Column | float | None = None, name: str = "value") -> DataFrame:
+    """(index, name): the values of each index combined by op, starting from init where that makes a difference."""
+    return scatter_reduces(df, index, {name: (value, op, init)})
 
 
 def antisymmetric_scatter(pairs: DataFrame, forces: tuple[str, ...] = ("fx", "fy", "fz"), left: str = "i", right: str = "j") -> DataFrame:

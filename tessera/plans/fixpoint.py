@@ -8,20 +8,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 
-def _folder(spark: SparkSession) -> None:
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of checkpoints, from spark.checkpoint.dir; a temporary one only where that is unset and the master is local."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
-            if not context.master.startswith("local"):
+            if context.master != "local" and not context.master.startswith("local["):
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="tessera-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
     """df as a checkpoint."""
-    _folder(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -18,27 +18,31 @@ def nodes_of(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
 
 
-def page_rank(edges: DataFrame, steps: int = 10, damping: float = 0.85, nodes: DataFrame | None = None) -> DataFrame:
-    """(node, rank) after so many steps from rank 1: (1 - damping) / n + damping * sum of rank / out-degree; repeated edges count, what nodes without out-edges hold is lost."""
+def _ranking(edges: DataFrame, damping: float, nodes: DataFrame | None) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The state of rank 1 and the step; the edges, with the out-degree of their source, are joined and dealt by source once."""
     listed = cut(nodes_of(edges) if nodes is None else nodes)
     n = listed.count()
     degree = edges.groupBy("src").agg(F.count("*").alias("degree"))
-    links = cut(edges.select("src", "dst").join(degree, "src"))
+    links = cut(edges.select("src", "dst").join(degree, "src").repartition("src"))
 
     def step(state: DataFrame) -> DataFrame:
         sent = links.join(state.withColumnRenamed("node", "src"), "src").select("dst", (F.col("rank") / F.col("degree")).alias("sent"))
         got = scatter_reduce(sent, "dst", "sent", "add", name="got").withColumnRenamed("dst", "node")
         return listed.join(got, "node", "left").select("node", (F.lit((1 - damping) / max(n, 1)) + F.lit(damping) * F.coalesce("got", F.lit(0.0))).alias("rank"))
 
-    return repeat(listed.withColumn("rank", F.lit(1.0)), step, steps)
+    return listed.withColumn("rank", F.lit(1.0)), step
+
+
+def page_rank(edges: DataFrame, steps: int = 10, damping: float = 0.85, nodes: DataFrame | None = None) -> DataFrame:
+    """(node, rank) after so many steps from rank 1: (1 - damping) / n + damping * sum of rank / out-degree; repeated edges count, what nodes without out-edges hold is lost."""
+    return repeat(*_ranking(edges, damping, nodes), steps)
 
 
 def page_rank_until(edges: DataFrame, probe: int = 100, tolerance: float = 0.001, most: int = 200, damping: float = 0.85) -> tuple[DataFrame, int]:
     """(state, steps): steps until the rank of one probed node changes by at most a share tolerance."""
-    state, last = page_rank(edges, 0), 1.0
-    edges = cut(edges)
+    (state, step), last = _ranking(edges, damping, None), 1.0
     for i in range(1, most + 1):
-        state = cut(_one_step(edges, state, damping))
+        state = cut(step(state))
         now = state.filter(F.col("node") == probe).select("rank").collect()
         if not now:
             raise ValueError(f"there is no node {probe}")
@@ -48,21 +52,13 @@ def page_rank_until(edges: DataFrame, probe: int = 100, tolerance: float = 0.001
     return state, most
 
 
-def _one_step(edges: DataFrame, state: DataFrame, damping: float) -> DataFrame:
-    n = state.count()
-    degree = edges.groupBy("src").agg(F.count("*").alias("degree"))
-    sent = edges.join(degree, "src").join(state.withColumnRenamed("node", "src"), "src").select("dst", (F.col("rank") / F.col("degree")).alias("sent"))
-    got = scatter_reduce(sent, "dst", "sent", "add", name="got").withColumnRenamed("dst", "node")
-    return state.select("node").join(got, "node", "left").select("node", (F.lit((1 - damping) / n) + F.lit(damping) * F.coalesce("got", F.lit(0.0))).alias("rank"))
-
-
 def correct_labels(edges: DataFrame, start: DataFrame, message: Callable[[Column, Column], Column], op: str) -> tuple[DataFrame, int]:
     """((node, label), rounds): labels improved along edges until none changes.
 
     Only nodes that changed send; the best message of each node is compared with its label once all are combined, so the
     order of edges is without effect. Nodes without a label (null) take any message. All nodes count as changed at first.
     """
-    edges = cut(edges)
+    edges = cut(edges.repartition("src"))  # dealt once: rounds join on src
     better = (lambda new, old: new < old) if op == "min" else (lambda new, old: new > old)
 
     def step(state: DataFrame) -> DataFrame:

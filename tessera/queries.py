@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,8 +14,9 @@ from .operators import aggregate as A
 from .operators import joins as J
 from .operators import windows as W
 from .plans import cluster, graphs, layout, particles, reorder
-from .plans.fixpoint import cut
+from .plans.fixpoint import cut, shared_folder
 from .sources import generators as G
+from .sources import readers as R
 from .sources.generators import box_side
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -137,11 +139,9 @@ _OPS = {"add": "sum(v)", "sub": "1000.0 - sum(v)", "mul": "product(v)", "div": "
 )
 def a7_scatter_reduce(spark: SparkSession, d: str) -> DataFrame:
     rows = _t(spark, d, "lineitem").select(F.col("l_suppkey").alias("key"), (1 + F.col("l_tax") / 1000).alias("v"))
-    out = A.scatter_reduce(rows, "key", F.col("v") > 1.00004, "count_if", name="count_if")
-    for op in _OPS:
-        found = A.scatter_reduce(rows, "key", "v", op, init={"sub": 1000.0}.get(op), name=op)
-        out = out.join(found.withColumn(op, F.round(op, 6)), "key")
-    return out
+    wanted = {op: ("v", op, {"sub": 1000.0}.get(op)) for op in _OPS} | {"count_if": (F.col("v") > 1.00004, "count_if", None)}
+    out = A.scatter_reduces(rows, "key", wanted)
+    return out.select("key", *(F.round(op, 6).alias(op) for op in _OPS), "count_if")
 
 
 @_query("WITH " + POS + " SELECT pos // 16 AS block, key, min(pos) AS first, CAST(sum(value) AS BIGINT) AS value FROM p GROUP BY 1, 2")
@@ -312,6 +312,16 @@ def g1_page_rank(spark: SparkSession, d: str) -> DataFrame:
     return graphs.page_rank(user_graph(spark, d), 10).withColumn("rank", F.round("rank", 6))
 
 
+@_query(
+    _rank_sql(DIR, 60).replace("SELECT node, round(v, 6) AS rank FROM pr WHERE i = 60", "")
+    + ", seen AS (SELECT i, v, lag(v) OVER (ORDER BY i) AS last FROM pr WHERE node = 0) SELECT round(v, 6) AS rank, CAST(i AS INTEGER) AS steps FROM seen WHERE abs(v - last) <= 0.05 * last ORDER BY i LIMIT 1"
+)
+def g1_page_rank_until(spark: SparkSession, d: str) -> DataFrame:
+    """The rank of a probed node, and the steps until it changes by a twentieth at most."""
+    state, steps = graphs.page_rank_until(user_graph(spark, d), probe=0, tolerance=0.05)
+    return state.filter("node = 0").select(F.round("rank", 6).alias("rank"), F.lit(steps).alias("steps"))
+
+
 _FROM_0 = "SELECT 0::BIGINT, 0.0::DOUBLE"
 _WIDE_0 = "SELECT 0::BIGINT, 99999999.0::DOUBLE"
 
@@ -347,7 +357,10 @@ def g4_weak_components(spark: SparkSession, d: str) -> DataFrame:
     return graphs.spread_labels(chain_graph(spark, d), directed=False)[0]
 
 
-@_query("WITH " + CHAIN + ", m AS (SELECT p_partkey AS n, p_partkey // 16 AS c FROM part) SELECT 16 AS steps, count(*) AS edges FROM g")
+@_query(
+    "WITH RECURSIVE " + CHAIN + ", far(node, d) AS (SELECT src, 0 FROM g WHERE src NOT IN (SELECT dst FROM g) UNION ALL SELECT g.dst, d + 1 FROM far JOIN g ON g.src = far.node) "
+    "SELECT CAST(max(d) + 1 AS INTEGER) AS steps, (SELECT count(*) FROM g) AS edges FROM far"
+)
 def m4_step_count(spark: SparkSession, d: str) -> DataFrame:
     g = cut(chain_graph(spark, d))
     steps = graphs.spread_labels(g)[1]
@@ -419,6 +432,45 @@ def m3_padded_edges(spark: SparkSession, d: str) -> DataFrame:
     return layout.padded_edges(layout.conflict_free_groups(layout.tile(numbered_edges(spark, d), 64)))
 
 
+@_query("WITH " + DIR + ", x AS (SELECT n, count(*) AS degree FROM (SELECT src AS n FROM g UNION ALL SELECT dst FROM g) GROUP BY n) SELECT row_number() OVER (ORDER BY degree DESC, n) - 1 AS node, n AS back, degree FROM x")
+def j10_reposition(spark: SparkSession, d: str) -> DataFrame:
+    """Rows moved to their new numbers, and the old ones that moving back gives."""
+    g = cut(user_graph(spark, d).select("src", "dst"))
+    degrees = g.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+    order = cut(W.degree_order(g))
+    moved = J.reposition(degrees, order)
+    return moved.join(J.reposition(moved.select("node", F.col("node").alias("new")), order, inverse=True).select(F.col("new").alias("node"), F.col("node").alias("back")), "node").select("node", "back", "degree")
+
+
+@_query("WITH " + DIR + ", " + NUMBERED + " SELECT src, dst, row_number() OVER (ORDER BY src // 64, dst // 64, pos) - 1 AS place FROM e")
+def o6_tile_order(spark: SparkSession, d: str) -> DataFrame:
+    return W.numbered(layout.lay_out_tiles(numbered_edges(spark, d), 64, "pos"), "tx", "ty", "pos", name="place").select("src", "dst", "place")
+
+
+@_query("SELECT p_partkey AS old_id, row_number() OVER (ORDER BY p_size % 4, p_partkey) - 1 AS new_id FROM part")
+def r5_by_part(spark: SparkSession, d: str) -> DataFrame:
+    return reorder.by_part(_t(spark, d, "part").select(F.col("p_partkey").alias("node"), (F.col("p_size") % 4).alias("part")))
+
+
+@_query(
+    "WITH " + DIR + ", x AS (SELECT n, count(*) AS degree FROM (SELECT src AS n FROM g UNION ALL SELECT dst FROM g) GROUP BY n), p AS (SELECT n, row_number() OVER (ORDER BY degree DESC, n) - 1 AS m FROM x), "
+    "r AS (SELECT a.m AS src, b.m AS dst FROM g JOIN p a ON g.src = a.n JOIN p b ON g.dst = b.n) SELECT src, dst, row_number() OVER (ORDER BY src, dst) - 1 AS place FROM r"
+)
+def r12_adjust_edges(spark: SparkSession, d: str) -> DataFrame:
+    g = cut(user_graph(spark, d).select("src", "dst"))
+    return W.numbered(reorder.adjust_edges(g, W.degree_order(g)), "src", "dst", name="place")
+
+
+@_query("WITH " + DIR + ", t AS (SELECT src // 64 AS tx, dst // 64 AS ty, count(*) AS edges FROM g GROUP BY 1, 2) SELECT tx, ty, edges, 0::BIGINT AS conflicts FROM t")
+def r3_pair_groups_without_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    """By tile: its edges, and the ends that a group of it has twice."""
+    rows = layout.tile(layout.pair_groups(layout.tile(numbered_edges(spark, d).select("src", "dst", "pos"), 64)).select("src", "dst", "group"), 64)
+    rows = cut(rows)
+    ends = rows.select("tx", "ty", "group", F.explode(F.array_distinct(F.array("src", "dst"))).alias("node")).groupBy("tx", "ty", "group", "node").agg(F.count("*").alias("n"))
+    twice = ends.groupBy("tx", "ty").agg(F.count_if(F.col("n") > 1).alias("conflicts"))
+    return rows.groupBy("tx", "ty").agg(F.count("*").alias("edges")).join(twice, ["tx", "ty"])
+
+
 @_query()
 def r3_pair_groups(spark: SparkSession, d: str) -> DataFrame:
     return layout.pair_groups(layout.tile(numbered_edges(spark, d).select("src", "dst", "pos"), 64)).select("src", "dst", "pos", "group")
@@ -484,6 +536,66 @@ def m1_lane_utilisation(spark: SparkSession, d: str) -> DataFrame:
     return A.lane_utilisation(positioned(spark, d), "pos", "key").withColumn("utilisation", F.round("utilisation", 6))
 
 
+@_query("WITH " + POS + ", c AS (SELECT count(*) AS n FROM p GROUP BY pos // 16, key) SELECT round(16.0 * count(*) FILTER (WHERE n >= 3) / sum(n), 6) AS overhead FROM c")
+def m2_overhead_of_three(spark: SparkSession, d: str) -> DataFrame:
+    return A.conflict_overhead(positioned(spark, d), "pos", "key", least=3).withColumn("overhead", F.round("overhead", 6))
+
+
+# scalar functions --------------------------------------------------------------------------------------------------
+
+_LANES = "l AS (SELECT event_id, user_id, CASE WHEN event_id % 5 = 0 THEN 'NaN'::DOUBLE ELSE value END AS a, CASE WHEN event_id % 7 = 0 THEN 'NaN'::DOUBLE ELSE 250.0 END AS b FROM events)"
+
+
+def _lanes(spark: SparkSession, d: str) -> DataFrame:
+    nan = F.lit(float("nan"))
+    return _t(spark, d, "events").select("event_id", "user_id", F.when(F.col("event_id") % 5 == 0, nan).otherwise(F.col("value")).alias("a"), F.when(F.col("event_id") % 7 == 0, nan).otherwise(F.lit(250.0)).alias("b"))
+
+
+@_query("WITH " + _LANES + " SELECT user_id, count(*) FILTER (WHERE isnan(a) OR isnan(b)) AS unordered, count(*) FILTER (WHERE isnan(a) OR isnan(b) OR a >= b) AS not_less, count(*) FILTER (WHERE isnan(a) OR isnan(b) OR a > b) AS not_less_equal FROM l GROUP BY 1")
+def p24_unordered_comparisons(spark: SparkSession, d: str) -> DataFrame:
+    a, b = F.col("a"), F.col("b")
+    return _lanes(spark, d).groupBy("user_id").agg(*(F.count_if(f(a, b)).alias(f.__name__) for f in (S.unordered, S.not_less, S.not_less_equal)))
+
+
+@_query("SELECT l_orderkey, l_linenumber, least(greatest(l_partkey * 2000000 + l_suppkey, -2147483648), 2147483647) AS up, least(greatest(l_suppkey - l_partkey * 2000000, -2147483648), 2147483647) AS down, CASE WHEN l_quantity > 25 THEN l_partkey ELSE l_suppkey END AS chosen FROM lineitem")
+def p25_saturating_and_masked(spark: SparkSession, d: str) -> DataFrame:
+    big, small = F.col("l_partkey") * 2_000_000, F.col("l_suppkey")
+    rows = _t(spark, d, "lineitem")
+    return rows.select("l_orderkey", "l_linenumber", S.saturating_add(big, small).alias("up"), S.saturating_sub(small, big).alias("down"), S.masked(F.col("l_quantity") > 25, F.col("l_partkey"), F.col("l_suppkey")).alias("chosen"))
+
+
+# files -------------------------------------------------------------------------------------------------------------
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/tessera-{name}-{uuid.uuid4().hex}"
+
+
+@_query("WITH " + KV + " SELECT key, count(*) AS cnt, CAST(sum(value) AS BIGINT) AS sum, CAST(sum(value * value) AS BIGINT) AS sumsq FROM kv GROUP BY key")
+def s1_key_value_file(spark: SparkSession, d: str) -> DataFrame:
+    """Key-value lines, written and read back, aggregated."""
+    path = _scratch(spark, "kv")
+    key_values(spark, d).select(F.concat_ws(" ", "key", "value").alias("value")).write.text(path)
+    return A.key_aggregate(R.read_key_values(spark, path))
+
+
+@_query("WITH " + DIR + " SELECT CAST(src AS INTEGER) AS src, CAST(dst AS INTEGER) AS dst, round(weight, 6) AS weight, (SELECT count(*) FROM (SELECT src FROM g UNION SELECT dst FROM g)) AS nodes FROM g")
+def s2_weighted_edge_file(spark: SparkSession, d: str) -> DataFrame:
+    """Weighted edges, written with a header and read back."""
+    g, path = cut(user_graph(spark, d)), _scratch(spark, "edges")
+    R.write_edges(g.select("src", "dst", "weight"), path, graphs.nodes_of(g).count())
+    rows, nodes = R.read_weighted_edges(spark, path)
+    return rows.select("src", "dst", F.round("weight", 6).alias("weight"), F.lit(nodes).cast("long").alias("nodes"))
+
+
+@_query("WITH " + BIP + " SELECT CAST(src AS INTEGER) AS src, count(*) AS degree FROM g GROUP BY 1")
+def s3_edge_file_degrees(spark: SparkSession, d: str) -> DataFrame:
+    """Edges without weights, written with a header, read back, and their out-degrees."""
+    g, path = cut(supply_graph(spark, d)), _scratch(spark, "links")
+    R.write_edges(g.select("src", "dst"), path, graphs.nodes_of(g).count())
+    return R.out_degrees(R.read_edges(spark, path)[0])
+
+
 # generators --------------------------------------------------------------------------------------------------------
 
 
@@ -510,6 +622,13 @@ def s11_zipf(spark: SparkSession, d: str) -> DataFrame:
     return A.key_aggregate(G.zipf(spark, 5_000, 64))
 
 
-@_query()
+def _velocity_sql() -> str:
+    draws = ", ".join(f"sqrt(-2 * ln(1 - {_DRAW.format('velocity' + c + 'r', 'id')})) * cos(2 * pi() * {_DRAW.format('velocity' + c + 'a', 'id')}) AS u{c}" for c in "xyz")
+    centred = ", ".join(f"u{c} - avg(u{c}) OVER () AS u{c}" for c in "xyz")
+    scaled = ", ".join(f"round(u{c} * 0.016 * sqrt(0.722 * 3 * (n - 1) / e), 6) + 0.0::DOUBLE AS vh{c}" for c in "xyz")
+    return f"WITH {_lattice()}, u AS (SELECT id, {draws} FROM q), w AS (SELECT id, {centred} FROM u), t AS (SELECT count(*) AS n, sum(ux * ux + uy * uy + uz * uz) AS e FROM w) SELECT id, {scaled} FROM w, t"
+
+
+@_query(_velocity_sql())
 def s13_velocities(spark: SparkSession, d: str) -> DataFrame:
-    return G.velocities(lattice(spark))
+    return G.velocities(lattice(spark)).select("id", *((F.round(f"vh{c}", 6) + 0.0).alias(f"vh{c}") for c in "xyz"))

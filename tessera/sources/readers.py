@@ -27,8 +27,15 @@ def read_key_values(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.expr("try_cast(f[0] AS int)").alias("key"), F.expr("try_cast(f[1] AS int)").alias("value")).dropna()
 
 
+def _parts(spark: SparkSession, path: str) -> tuple[str, str]:
+    """Where the header and the lines are: in the two folders that write_edges makes, or both in the file itself."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/header")
+    split = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+    return (f"{path}/header", f"{path}/edges") if split else (path, path)
+
+
 def _header(spark: SparkSession, path: str) -> tuple[int, int]:
-    first = next(line.value for line in spark.read.text(path).filter("trim(value) <> '' AND NOT startswith(trim(value), '%')").limit(1).collect())
+    first = next(line.value for line in spark.read.text(_parts(spark, path)[0]).filter("trim(value) <> '' AND NOT startswith(trim(value), '%')").limit(1).collect())
     nodes, edges = map(int, first.split()[:2])
     return nodes, edges
 
@@ -36,16 +43,18 @@ def _header(spark: SparkSession, path: str) -> tuple[int, int]:
 def read_weighted_edges(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
     """((src, dst, weight), nodes) of a file whose first line is "nodes edges"; the count of edges is checked."""
     nodes, edges = _header(spark, path)
-    rows = _fields(spark, path).filter("size(f) = 3").select(F.col("f")[0].cast("int").alias("src"), F.col("f")[1].cast("int").alias("dst"), F.col("f")[2].cast("double").alias("weight"))
+    rows = _fields(spark, _parts(spark, path)[1]).filter("size(f) = 3").select(F.col("f")[0].cast("int").alias("src"), F.col("f")[1].cast("int").alias("dst"), F.col("f")[2].cast("double").alias("weight"))
     return _checked(rows, edges, path), nodes
 
 
 def read_edges(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
     """((src, dst), nodes) of a file with header and lines of two or more fields, the first line being the header."""
     nodes, edges = _header(spark, path)
-    rows = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("at")).filter("trim(value) <> ''")
-    head = rows.agg(F.min("at")).first()[0]
-    rows = rows.filter(F.col("at") > head).select(F.split(F.trim("value"), r"\s+").alias("f"))
+    head, lines = _parts(spark, path)
+    rows = spark.read.text(lines).select("value", F.monotonically_increasing_id().alias("at")).filter("trim(value) <> ''")
+    if head == lines:
+        rows = rows.filter(F.col("at") > rows.agg(F.min("at")).first()[0])
+    rows = rows.select(F.split(F.trim("value"), r"\s+").alias("f"))
     return _checked(rows.select(F.col("f")[0].cast("int").alias("src"), F.col("f")[1].cast("int").alias("dst")), edges, path), nodes
 
 
@@ -108,6 +117,8 @@ def write_table(df: DataFrame, path: str, kind: str = "parquet", **options: str)
     df.write.format(kind).options(**options).save(path)
 
 
-def write_edges(df: DataFrame, path: str) -> None:
-    """Edges as lines of fields; the header is left to the reader of a folder's parts."""
-    df.select(F.concat_ws(" ", *(F.col(c).cast("string") for c in df.columns)).alias("value")).write.text(path)
+def write_edges(df: DataFrame, path: str, nodes: int) -> None:
+    """Edges as lines of fields in path/edges, and the line "nodes edges" in path/header; the readers of edges take such a folder."""
+    df.select(F.concat_ws(" ", *(F.col(c).cast("string") for c in df.columns)).alias("value")).write.text(f"{path}/edges")
+    count = df.sparkSession.read.text(f"{path}/edges").count()
+    df.sparkSession.range(1).select(F.lit(f"{nodes} {count}").alias("value")).write.text(f"{path}/header")
