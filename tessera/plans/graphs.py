@@ -98,3 +98,25 @@ def spread_labels(edges: DataFrame, directed: bool = True) -> tuple[DataFrame, i
     links = links.distinct().withColumn("weight", F.lit(0.0))
     state, rounds = correct_labels(links, nodes_of(edges).withColumn("label", F.col("node")), lambda d, w: d, "min")
     return state.select("node", F.col("label").alias("comp")), rounds
+
+
+def weak_components(edges: DataFrame) -> DataFrame:
+    """(node, comp): the smallest node of each weak component, as spread_labels(directed=False) finds it, by contraction.
+
+    In a round, every node points at its smallest neighbour, if that is smaller; pointers are followed to their ends by
+    doubling; nodes become their ends and edges within one end go. So edges shrink from round to round, and rounds and
+    doublings grow with logarithms, not with the diameter.
+    """
+    comps = cut(nodes_of(edges).withColumn("comp", F.col("node")))
+    links = edges.select("src", "dst").filter("src <> dst")
+    links = cut(links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
+    while not links.isEmpty():
+        ends = cut(links.groupBy(F.col("src").alias("at")).agg(F.min("dst").alias("low")).select("at", F.least("at", "low").alias("end"), F.lit(True).alias("moved")))
+        while not ends.filter("moved").isEmpty():
+            further = ends.select(F.col("at").alias("end"), F.col("end").alias("next"))
+            ends = cut(ends.join(further, "end").select("at", F.col("next").alias("end"), (F.col("next") != F.col("end")).alias("moved")))
+        ends = ends.select("at", "end")
+        comps = cut(comps.join(ends.withColumnRenamed("at", "comp"), "comp", "left").select("node", F.coalesce("end", "comp").alias("comp")))
+        links = links.join(ends.select(F.col("at").alias("src"), F.col("end").alias("a")), "src").join(ends.select(F.col("at").alias("dst"), F.col("end").alias("b")), "dst")
+        links = cut(links.filter("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct())
+    return comps

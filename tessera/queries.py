@@ -354,7 +354,7 @@ def g4_label_spreading(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(_LABELS.format(graph=CHAIN + ", h AS (SELECT src, dst FROM g UNION SELECT dst, src FROM g)", edges="h"))
 def g4_weak_components(spark: SparkSession, d: str) -> DataFrame:
-    return graphs.spread_labels(chain_graph(spark, d), directed=False)[0]
+    return graphs.weak_components(chain_graph(spark, d))
 
 
 @_query(

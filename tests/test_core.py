@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -171,3 +172,34 @@ def test_no_python_in_the_plan_of_the_aggregate(spark, sf_dir):
 
     plan = Q.a1_hash_aggregate(spark, sf_dir)._jdf.queryExecution().toString()
     assert "partial_sum" in plan and "Python" not in plan and "l_comment" not in plan
+
+
+def test_weak_components_equal_spread_labels(spark):
+    rng = random.Random(4)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(120)] + [(1000 + i, 1001 + i) for i in range(9)] + [(2000 + i, 2000) for i in range(30)] + [(5, 5)]
+    df = spark.createDataFrame(edges, "src long, dst long")
+    want = {r.node: r.comp for r in graphs.spread_labels(df, directed=False)[0].collect()}
+    assert {r.node: r.comp for r in graphs.weak_components(df).collect()} == want
+    assert graphs.weak_components(df.limit(0)).collect() == []
+
+
+def test_zipf_over_half_a_million_groups(spark):
+    rows = G.zipf(spark, 4000, 1 << 19, 1.0).collect()
+    counts = [sum(r.key < top for r in rows) / len(rows) for top in (1, 1024, 1 << 19)]
+    whole = sum(1 / r for r in range(1, (1 << 19) + 1))
+    assert abs(counts[0] - 1 / whole) < 0.03 and abs(counts[1] - sum(1 / r for r in range(1, 1025)) / whole) < 0.03 and counts[2] == 1
+
+
+def test_edge_files_with_a_header(spark, tmp_path):
+    df = spark.createDataFrame([(0, 1, 0.5), (2, 0, 1.5)], "src int, dst int, weight double").repartition(2)
+    R.write_edges(df, f"{tmp_path}/w", 3)
+    rows, nodes = R.read_weighted_edges(spark, f"{tmp_path}/w")
+    assert nodes == 3 and sorted(map(tuple, rows.collect())) == [(0, 1, 0.5), (2, 0, 1.5)]
+    R.write_edges(df.select("src", "dst"), f"{tmp_path}/u", 3)
+    assert sorted(map(tuple, R.read_edges(spark, f"{tmp_path}/u")[0].collect())) == [(0, 1), (2, 0)]
+
+
+def test_tiles_lie_in_row_major_order(spark):
+    df = spark.createDataFrame([(i * 37 % 100, i * 61 % 100, i) for i in range(100)], "src long, dst long, pos long")
+    rows = layout.lay_out_tiles(df, 10, "pos").collect()
+    assert [(r.tx, r.ty, r.pos) for r in rows] == sorted((r.src // 10, r.dst // 10, r.pos) for r in rows)
