@@ -73,8 +73,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def shape(word: str) -> str:
-    """The word's letters and digits by kind, runs shortened."""
-    kinds = "".join("9" if "0" <= c <= "9" else "A" if c.isupper() else "a" if c.isalpha() else c for c in word[:64])
+    """The whole word's letters and digits by kind, runs shortened."""
+    kinds = "".join("9" if "0" <= c <= "9" else "A" if c.isupper() else "a" if c.isalpha() else c for c in word)
     return re.sub(r"(.)\1{3,}", r"\1\1\1", kinds)
 
 
@@ -82,7 +82,7 @@ def token_features(words: list[str]) -> np.ndarray:
     """Feature numbers of each word of a chain: its shape, its neighbours' shapes, and what it is made of."""
     marks = []
     for w in words:
-        digits = _digits(w[:64])
+        digits = _digits(w)
         core = w.strip(".,;:!?()\"'")
         four = core.split(".")
         marks.append((
@@ -94,7 +94,7 @@ def token_features(words: list[str]) -> np.ndarray:
     rows = []
     for i, m in enumerate(marks):
         before, after = marks[i - 1] if i else none, marks[i + 1] if i + 1 < len(marks) else none
-        names = [f"{j}{x}" for j, x in enumerate(m)] + [f"b{before[0]}", f"a{after[0]}", f"bw{words[i - 1].lower()[:12] if i else ''}", f"two {before[1]} {m[1]}", f"next {m[1]} {after[1]}"]
+        names = [f"{j}{x}" for j, x in enumerate(m)] + [f"b{before[0]}", f"a{after[0]}", f"bw{words[i - 1].lower() if i else ''}", f"two {before[1]} {m[1]}", f"next {m[1]} {after[1]}"]
         rows.append([zlib.crc32(x.encode("utf-8", "replace")) % FEATURES for x in names])
     return np.array(rows, np.int64)
 
