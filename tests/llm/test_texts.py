@@ -357,7 +357,7 @@ def test_chats_round_trip(spark):
     rows += [(99, None, "user", "x"), (99, 0, "user", "y"), (99, 0, "user", "y"), (None, 1, "assistant", "z")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
     done = chat.format_chats(df.withColumn("rows", F.lit(1)))
-    got = done.select("conv_id", chat.read_back(F.col("formatted")).alias("turns"), chat.loss_text(F.col("formatted"), F.col("loss")).alias("learnt"), "formatted").collect()
+    got = done.select("conv_id", chat.read_back(F.col("formatted")).alias("turns"), chat.loss_text(F.col("formatted"), "loss").alias("learnt"), "formatted").collect()
     by = collections.defaultdict(list)
     for c, t, r, x in rows:
         by[c].append((-1 if t is None else t, r or "", x or ""))
@@ -371,6 +371,19 @@ def test_chats_round_trip(spark):
     assert "Python" not in done._jdf.queryExecution().toString()
 
 
+def test_long_conversation(spark):
+    n = 30_000
+    rows = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 3 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("<é "), F.col("id")).alias("text"))
+    done = chat.format_chats(rows)
+    g = done.select(chat.read_back(F.col("formatted")).alias("turns"), chat.loss_text(F.col("formatted"), "loss").alias("learnt"), "loss", "formatted").first()
+    want = [("user" if i % 3 == 0 else "assistant", f"<é {i}") for i in range(n)]
+    assert [tuple(t) for t in g.turns] == want and g.formatted.count(chat.HEAD) == 2 * n // 3
+    assert g.learnt == "".join(x for r, x in want if r == "assistant")
+    assert [g.formatted[s.start : s.end] for s in g.loss] == [x.replace("<", "\\l") for r, x in want if r == "assistant"]
+    long = spark.createDataFrame([(2, 0, "assistant", "x" * 5_000_000)], rows.schema.simpleString()[7:-1].replace(":", " "))
+    assert chat.format_chats(long).select(chat.loss_text(F.col("formatted"), "loss").alias("t")).first().t == "x" * 5_000_000
+
+
 # op 8
 
 
