@@ -27,21 +27,37 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def drop(df: DataFrame) -> None:
+    """Delete the files of a checkpoint, as cut() returned it, that nothing reads any more."""
+    file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if file.isDefined():
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def repeat(state: DataFrame, step: Callable[[DataFrame], DataFrame], rounds: int, every: int = 5) -> DataFrame:
-    """state after so many rounds, checkpointed after every few."""
+    """state after so many rounds, checkpointed after every few; a checkpoint goes when the next is there."""
+    before = None
     for i in range(rounds):
         state = step(state)
         if (i + 1) % every == 0 and i + 1 < rounds:
             state = cut(state)
+            if before is not None:
+                drop(before)
+            before = state
     return state
 
 
 def until_unchanged(state: DataFrame, step: Callable[[DataFrame], DataFrame], most: int | None = None) -> tuple[DataFrame, int]:
-    """(state, rounds): step applied until it marks no row as changed; the last, empty round counts. state and step's result have a boolean column changed."""
+    """(state, rounds): step applied until it marks no row as changed; the last, empty round counts. state and step's result have a boolean column changed.
+
+    The checkpoint of a round is deleted when the next is there.
+    """
     rounds = 0
     state = cut(state)
     while most is None or rounds < most:
-        state = cut(step(state))
+        before, state = state, cut(step(state))
+        drop(before)
         rounds += 1
         if state.filter("changed").isEmpty():
             break

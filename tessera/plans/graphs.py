@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.aggregate import scatter_reduce
-from .fixpoint import cut, repeat, until_unchanged
+from .fixpoint import cut, drop, repeat, until_unchanged
 
 #: What an unreached node shows in parity output: a fixed value.
 UNREACHED = 99999999.0
@@ -42,7 +42,9 @@ def page_rank_until(edges: DataFrame, probe: int = 100, tolerance: float = 0.001
     """(state, steps): steps until the rank of one probed node changes by at most a share tolerance."""
     (state, step), last = _ranking(edges, damping, None), 1.0
     for i in range(1, most + 1):
-        state = cut(step(state))
+        before, state = state, cut(step(state))
+        if i > 1:
+            drop(before)
         now = state.filter(F.col("node") == probe).select("rank").collect()
         if not now:
             raise ValueError(f"there is no node {probe}")
@@ -111,12 +113,15 @@ def weak_components(edges: DataFrame) -> DataFrame:
     links = edges.select("src", "dst").filter("src <> dst")
     links = cut(links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
     while not links.isEmpty():
-        ends = cut(links.groupBy(F.col("src").alias("at")).agg(F.min("dst").alias("low")).select("at", F.least("at", "low").alias("end"), F.lit(True).alias("moved")))
-        while not ends.filter("moved").isEmpty():
-            further = ends.select(F.col("at").alias("end"), F.col("end").alias("next"))
-            ends = cut(ends.join(further, "end").select("at", F.col("next").alias("end"), (F.col("next") != F.col("end")).alias("moved")))
-        ends = ends.select("at", "end")
+        pointers = cut(links.groupBy(F.col("src").alias("at")).agg(F.min("dst").alias("low")).select("at", F.least("at", "low").alias("end"), F.lit(True).alias("moved")))
+        while not pointers.filter("moved").isEmpty():
+            further, before = pointers.select(F.col("at").alias("end"), F.col("end").alias("next")), pointers
+            pointers = cut(pointers.join(further, "end").select("at", F.col("next").alias("end"), (F.col("next") != F.col("end")).alias("moved")))
+            drop(before)
+        ends, old_comps, old_links = pointers.select("at", "end"), comps, links
         comps = cut(comps.join(ends.withColumnRenamed("at", "comp"), "comp", "left").select("node", F.coalesce("end", "comp").alias("comp")))
         links = links.join(ends.select(F.col("at").alias("src"), F.col("end").alias("a")), "src").join(ends.select(F.col("at").alias("dst"), F.col("end").alias("b")), "dst")
         links = cut(links.filter("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct())
+        for table in (pointers, old_comps, old_links):
+            drop(table)
     return comps

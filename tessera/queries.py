@@ -404,6 +404,51 @@ def g5_dynamics_step(spark: SparkSession, d: str) -> DataFrame:
     return particles.observables(state, _SETTINGS).select(F.round("ekin", 6).alias("ekin"), F.round("vel", 6).alias("vel"), "fast")
 
 
+#: A draw in [0, 1), as uniform() makes it.
+_DRAW = "CAST('0x' || substr(md5('{}:' || {}), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE"
+
+
+def _velocities(points: str) -> str:
+    draws = ", ".join(f"sqrt(-2 * ln(1 - {_DRAW.format('velocity' + c + 'r', 'id')})) * cos(2 * pi() * {_DRAW.format('velocity' + c + 'a', 'id')}) AS u{c}" for c in "xyz")
+    centred = ", ".join(f"u{c} - avg(u{c}) OVER () AS u{c}" for c in "xyz")
+    scaled = ", ".join(f"u{c} * 0.016 * sqrt(0.722 * 3 * (n - 1) / e) AS vh{c}" for c in "xyz")
+    return f"vu AS (SELECT id, {draws} FROM {points}), vw AS (SELECT id, {centred} FROM vu), vt AS (SELECT count(*) AS n, sum(ux * ux + uy * uy + uz * uz) AS e FROM vw), vel AS (SELECT id, {scaled} FROM vw, vt)"
+
+
+def _moved() -> str:
+    """q: the particles of q0 after one move by vel."""
+    at = ", ".join(f"CASE WHEN {c} + vh{c} < 0 THEN {c} + vh{c} + {_SETTINGS.side!r}::DOUBLE WHEN {c} + vh{c} > {_SETTINGS.side!r} THEN {c} + vh{c} - {_SETTINGS.side!r}::DOUBLE ELSE {c} + vh{c} END AS {c}" for c in "xyz")
+    return f"q AS (SELECT id, {at} FROM q0 JOIN vel USING (id))"
+
+
+def _observed(e: str) -> str:
+    return f"sum({e}) / {_SETTINGS.step**2!r} AS ekin, sum(sqrt({e})) / {_SETTINGS.step!r} AS vel, count(*) FILTER (WHERE sqrt({e}) > {_SETTINGS.usual_speed * _SETTINGS.step!r}) AS fast"
+
+
+@_query(
+    f"WITH {_lattice('q0')}, {_velocities('q0')}, {_moved()}, {_pairs(3.0, True)}{_FORCE}, t AS (SELECT id, sum(fx) * {_HALF} AS fx, sum(fy) * {_HALF} AS fy, sum(fz) * {_HALF} AS fz FROM s GROUP BY id), "
+    + "v AS (SELECT " + " + ".join(f"pow(vh{c} + coalesce(f{c}, 0), 2)" for c in "xyz") + f" AS e FROM vel LEFT JOIN t USING (id)), o AS (SELECT {_observed('e')} FROM v) SELECT round(ekin, 6) AS ekin, round(vel, 6) AS vel, fast FROM o"
+)
+def g5_dynamics_moving_step(spark: SparkSession, d: str) -> DataFrame:
+    """One step with velocities: particles move, wrap and push each other."""
+    state = particles.simulate(G.velocities(lattice(spark)), _SETTINGS, 1)
+    return particles.observables(state, _SETTINGS).select(F.round("ekin", 6).alias("ekin"), F.round("vel", 6).alias("vel"), "fast")
+
+
+_REPORT = {"ek": "24 * ekin", "epot": "4 * e", "etot": "24 * ekin + 4 * e", "temp": "ekin * (16.0::DOUBLE / (c - 1))", "pres": "0.83134::DOUBLE * 16 * (ekin - v) / c", "vel": "vel / c", "rp": "fast / c * 100"}
+
+
+@_query(
+    f"WITH {_lattice()}, {_velocities('q')}, {_pairs(3.0, True)}, f AS (SELECT rd, 1.0::DOUBLE / rd AS r FROM n), p AS (SELECT sum(pow(r, 6) - pow(r, 3)) AS e, sum(rd * (pow(r, 7) - 0.5::DOUBLE * pow(r, 4))) AS v FROM f), "
+    + f"h AS (SELECT vhx * vhx + vhy * vhy + vhz * vhz AS e FROM vel), o AS (SELECT {_observed('e')}, count(*)::DOUBLE AS c FROM h) SELECT " + ", ".join(f"round({sql}, 4) AS {name}" for name, sql in _REPORT.items()) + " FROM p, o"
+)
+def k5_physics_report(spark: SparkSession, d: str) -> DataFrame:
+    """Energies, temperature, pressure and speeds of the particles at the start."""
+    state = G.velocities(lattice(spark))
+    found = particles.report(state, J.near_pairs(state, _SETTINGS.side, _SETTINGS.tolerance * _SETTINGS.cutoff), _SETTINGS)
+    return found.select(*(F.round(c, 4).alias(c) for c in _REPORT))
+
+
 @_query()
 def g5_dynamics_run(spark: SparkSession, d: str) -> DataFrame:
     """Five steps with velocities, pairs made anew every two."""
@@ -509,7 +554,6 @@ def r10_ownership(spark: SparkSession, d: str) -> DataFrame:
     return reorder.ownership(user_graph(spark, d), 10, 60).select("src", "dst", "owned")
 
 
-_DRAW = "CAST('0x' || substr(md5('{}:' || {}), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE"
 
 
 @_query("WITH n AS (SELECT p_partkey AS node, row_number() OVER (ORDER BY " + _DRAW.format("swap", "p_partkey") + ", p_partkey) - 1 AS at FROM part), c AS (SELECT count(*) * 20 // 100 // 2 AS pairs FROM part) SELECT n.node AS old_id, coalesce(m.node, n.node) AS new_id FROM n CROSS JOIN c LEFT JOIN n m ON n.at // 2 < c.pairs AND m.at = n.at + CASE WHEN n.at % 2 = 0 THEN 1 ELSE -1 END")
@@ -596,6 +640,38 @@ def s3_edge_file_degrees(spark: SparkSession, d: str) -> DataFrame:
     return R.out_degrees(R.read_edges(spark, path)[0])
 
 
+def _write_mesh(g: DataFrame, path: str) -> None:
+    """A comment, the line "nodes edges" and a line of 1-based neighbours for each node."""
+    n, lines = g.agg(F.max(F.greatest("src", "dst"))).first()[0] + 1, g.groupBy("src").agg(F.array_join(F.array_sort(F.collect_list(F.col("dst") + 1)), " ").alias("line"))
+    rows = g.sparkSession.range(n).join(lines, F.col("id") == F.col("src"), "left").select("id", F.coalesce("line", F.lit("")).alias("value"))
+    head = g.sparkSession.createDataFrame([(-2, "% neighbours"), (-1, f"{n} {g.count()}")], "id long, value string")
+    rows.unionByName(head).orderBy("id").select("value").write.text(path)
+
+
+@_query("WITH " + DIR + " SELECT CAST(src AS INTEGER) AS src, CAST(dst AS INTEGER) AS dst FROM g")
+def s4_mesh_file(spark: SparkSession, d: str) -> DataFrame:
+    """A mesh, written as lines of neighbours and read back."""
+    path = _scratch(spark, "mesh")
+    _write_mesh(cut(user_graph(spark, d)), path)
+    return R.read_mesh(spark, path)[0]
+
+
+@_query("WITH " + DIR + ", h AS (SELECT src AS node, list(dst ORDER BY dst) AS partners FROM g WHERE dst >= src GROUP BY src) SELECT CAST(node AS INTEGER) AS node, CAST(coalesce(sum(len(partners)) OVER (ORDER BY node ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS offset, array_to_string(partners, ' ') AS partners FROM h")
+def s5_mesh_file_csr(spark: SparkSession, d: str) -> DataFrame:
+    """A mesh read with each edge once, as offsets and partners."""
+    path = _scratch(spark, "mesh")
+    _write_mesh(cut(user_graph(spark, d)), path)
+    return W.csr(R.read_mesh(spark, path, once=True)[0]).withColumn("partners", F.array_join("partners", " "))
+
+
+@_query("WITH " + _lattice() + " SELECT id, round(x, 6) + 0.0::DOUBLE AS x, round(y, 6) + 0.0::DOUBLE AS y, round(z, 6) + 0.0::DOUBLE AS z FROM q")
+def s6_coordinates_file(spark: SparkSession, d: str) -> DataFrame:
+    """Coordinates, written in the order of particles and numbered again when they are read."""
+    path = _scratch(spark, "coordinates")
+    lattice(spark).orderBy("id").select(F.concat_ws(" ", *"xyz").alias("value")).write.text(path)
+    return R.read_coordinates(spark, path, 4 * CELLS**3).select("id", *((F.round(c, 6) + 0.0).alias(c) for c in "xyz"))
+
+
 # generators --------------------------------------------------------------------------------------------------------
 
 
@@ -622,13 +698,6 @@ def s11_zipf(spark: SparkSession, d: str) -> DataFrame:
     return A.key_aggregate(G.zipf(spark, 5_000, 64))
 
 
-def _velocity_sql() -> str:
-    draws = ", ".join(f"sqrt(-2 * ln(1 - {_DRAW.format('velocity' + c + 'r', 'id')})) * cos(2 * pi() * {_DRAW.format('velocity' + c + 'a', 'id')}) AS u{c}" for c in "xyz")
-    centred = ", ".join(f"u{c} - avg(u{c}) OVER () AS u{c}" for c in "xyz")
-    scaled = ", ".join(f"round(u{c} * 0.016 * sqrt(0.722 * 3 * (n - 1) / e), 6) + 0.0::DOUBLE AS vh{c}" for c in "xyz")
-    return f"WITH {_lattice()}, u AS (SELECT id, {draws} FROM q), w AS (SELECT id, {centred} FROM u), t AS (SELECT count(*) AS n, sum(ux * ux + uy * uy + uz * uz) AS e FROM w) SELECT id, {scaled} FROM w, t"
-
-
-@_query(_velocity_sql())
+@_query(f"WITH {_lattice()}, {_velocities('q')} SELECT id, " + ", ".join(f"round(vh{c}, 6) + 0.0::DOUBLE AS vh{c}" for c in "xyz") + " FROM vel")
 def s13_velocities(spark: SparkSession, d: str) -> DataFrame:
     return G.velocities(lattice(spark)).select("id", *((F.round(f"vh{c}", 6) + 0.0).alias(f"vh{c}") for c in "xyz"))

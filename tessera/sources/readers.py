@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.windows import numbered
+
 
 def _fields(spark: SparkSession, path: str) -> DataFrame:
     """(f: array of fields) for each line with any."""
@@ -14,6 +16,12 @@ def _fields(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.split("line", " ").alias("f"))
 
 
+def _lines(spark: SparkSession, path: str, keep: str) -> DataFrame:
+    """(at, line): the lines that meet the condition keep, trimmed, numbered in the order of files and of places in them."""
+    rows = spark.read.text(path).select(F.trim(F.regexp_replace("value", r"\s+", " ")).alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return numbered(rows.filter(keep), "file", "block", "row", name="at").select("at", "line")
+
+
 def _checked(rows: DataFrame, expected: int, what: str) -> DataFrame:
     found = rows.count()
     if found != expected:
@@ -65,15 +73,14 @@ def out_degrees(edges: DataFrame) -> DataFrame:
 def read_mesh(spark: SparkSession, path: str, once: bool = False) -> tuple[DataFrame, int]:
     """((src, dst), nodes), 0-based, of a mesh file: comments of %, then "nodes edges", then line i with the 1-based neighbours of node i.
 
-    A neighbour of 0 or less ends its line. once keeps each undirected edge once, as src <= dst. The file is one value
-    of a row, so lines keep their numbers; meshes are small beside what they describe.
+    A neighbour of 0 or less ends its line, a line that lists none still counts. once keeps each undirected edge once, as
+    src <= dst. Lines get their numbers from a distributed sort, so a mesh may be larger than a task.
     """
     nodes, edges = _header(spark, path)
-    lines = spark.read.text(path, wholetext=True).select(F.filter(F.split("value", "\n"), lambda x: ~F.startswith(F.trim(x), F.lit("%"))).alias("lines"))
-    rows = lines.select(F.posexplode("lines").alias("at", "line"))
-    head = F.min(F.when(F.trim("line") != "", F.col("at"))).over(Window.partitionBy())
+    rows = _lines(spark, path, "NOT startswith(line, '%')")
+    head = rows.filter("line <> ''").agg(F.min("at")).first()[0]
     rows = rows.withColumn("src", F.col("at") - head - 1).filter(F.col("src").between(0, nodes - 1))
-    listed = rows.select("src", F.posexplode(F.split(F.trim("line"), r"\s+")).alias("place", "text")).filter("text <> ''")
+    listed = rows.select("src", F.posexplode(F.split("line", " ")).alias("place", "text")).filter("text <> ''")
     stop = F.min(F.when(F.col("text").cast("int") <= 0, F.col("place"))).over(Window.partitionBy("src"))
     out = listed.withColumn("stop", stop).filter("stop IS NULL OR place < stop").select(F.col("src").cast("int"), (F.col("text").cast("int") - 1).alias("dst"))
     if once:
@@ -83,9 +90,8 @@ def read_mesh(spark: SparkSession, path: str, once: bool = False) -> tuple[DataF
 
 def read_coordinates(spark: SparkSession, path: str, expected: int | None = None) -> DataFrame:
     """(id, x, y, z) of "x y z" lines, numbered in file order; the count is checked if it is given."""
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")).alias("id", "line"))
-    f = F.split(F.trim("line"), r"\s+")
-    rows = rows.select("id", *(f[i].cast("double").alias(n) for i, n in enumerate("xyz")))
+    f = F.split("line", " ")
+    rows = _lines(spark, path, "line <> ''").select(F.col("at").alias("id"), *(f[i].cast("double").alias(n) for i, n in enumerate("xyz")))
     return rows if expected is None else _checked(rows, expected, path)
 
 

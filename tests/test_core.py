@@ -149,6 +149,31 @@ def test_readers(spark, tmp_path):
     assert rows(R.out_degrees(e)) == [(0, 1), (1, 1)]
 
 
+def test_lines_keep_their_numbers_in_many_splits(spark, tmp_path):
+    (tmp_path / "c").write_text("".join(f"{i}  0 {i}.5\n\n" for i in range(3000)))
+    (tmp_path / "m").write_text("% note\n%\n3000 2999\n" + "".join(f" {i}\n" if i else "\n" for i in range(3000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        assert R.read_coordinates(spark, str(tmp_path / "c"), 3000).filter("x <> id OR z <> id + 0.5").count() == 0
+        assert rows(R.read_mesh(spark, str(tmp_path / "m"))[0]) == [(i, i - 1) for i in range(1, 3000)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_old_checkpoints_go(spark):
+    from pathlib import Path
+
+    from tessera.plans import fixpoint
+
+    folder = Path(fixpoint.shared_folder(spark).removeprefix("file:"))
+    count = lambda: len(list(folder.glob("rdd-*")))
+    chain = spark.range(12).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.lit(1.0).alias("weight"))
+    before = count()
+    dist, rounds = graphs.shortest_paths(chain)
+    assert rounds == 13 and rows(dist) == [(i, float(i)) for i in range(13)] and count() == before + 2  # the edges and the last round
+
+
 def test_lehmer():
     assert G.lehmer(2, 1) == [16807 / (2**31 - 1), 282475249 / (2**31 - 1)]
 

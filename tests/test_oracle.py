@@ -7,7 +7,6 @@ import pytest
 from tessera import queries as Q
 from tests.compare import connect, differences
 
-#: Searches whose loops make a dozen jobs and more; their graphs are covered in test_graphs.py too.
 NAMES = sorted(Q.oracle_sql())
 
 
