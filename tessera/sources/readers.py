@@ -16,10 +16,14 @@ def _fields(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.split("line", " ").alias("f"))
 
 
+def _placed(spark: SparkSession, path: str) -> DataFrame:
+    """(line, file, block, row): trimmed lines; (file, block, row) is the order of files and of places in them, which Spark, taking large files first, doesn't read in."""
+    return spark.read.text(path).select(F.trim(F.regexp_replace("value", r"\s+", " ")).alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+
+
 def _lines(spark: SparkSession, path: str, keep: str) -> DataFrame:
     """(at, line): the lines that meet the condition keep, trimmed, numbered in the order of files and of places in them."""
-    rows = spark.read.text(path).select(F.trim(F.regexp_replace("value", r"\s+", " ")).alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
-    return numbered(rows.filter(keep), "file", "block", "row", name="at").select("at", "line")
+    return numbered(_placed(spark, path).filter(keep), "file", "block", "row", name="at").select("at", "line")
 
 
 def _checked(rows: DataFrame, expected: int, what: str) -> DataFrame:
@@ -42,12 +46,19 @@ def _parts(spark: SparkSession, path: str) -> tuple[str, str]:
     return (f"{path}/header", f"{path}/edges") if split else (path, path)
 
 
-def _header(spark: SparkSession, path: str) -> tuple[int, int]:
-    first = next(line.value for line in spark.read.text(_parts(spark, path)[0]).filter("trim(value) <> '' AND NOT startswith(trim(value), '%')").limit(1).collect())
-    nodes, edges = map(int, first.split()[:2])
+def _sizes(line: str | None, path: str) -> tuple[int, int]:
+    """The nodes and edges that a header says."""
+    if line is None:
+        raise ValueError(f"{path}: there is no header")
+    nodes, edges = map(int, line.split()[:2])
     return nodes, edges
 
 
+def _header(spark: SparkSession, path: str) -> tuple[int, int]:
+    lines = _placed(spark, _parts(spark, path)[0]).filter("line <> '' AND NOT startswith(line, '%')")
+    return _sizes(lines.agg(F.min_by("line", F.struct("file", "block", "row"))).first()[0], path)
+
+
 def read_weighted_edges(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
     """((src, dst, weight), nodes) of a file whose first line is "nodes edges"; the count of edges is checked."""
     nodes, edges = _header(spark, path)
@@ -59,10 +70,11 @@ def read_edges(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
     """((src, dst), nodes) of a file with header and lines of two or more fields, the first line being the header."""
     nodes, edges = _header(spark, path)
     head, lines = _parts(spark, path)
-    rows = spark.read.text(lines).select("value", F.monotonically_increasing_id().alias("at")).filter("trim(value) <> ''")
+    rows = _placed(spark, lines).filter("line <> ''").select("line", F.struct("file", "block", "row").alias("at"))
     if head == lines:
-        rows = rows.filter(F.col("at") > rows.agg(F.min("at")).first()[0])
-    rows = rows.select(F.split(F.trim("value"), r"\s+").alias("f"))
+        first = F.struct(*map(F.lit, rows.agg(F.min("at")).first()[0]))
+        rows = rows.filter(F.col("at") > first.cast(rows.schema["at"].dataType))
+    rows = rows.select(F.split("line", " ").alias("f"))
     return _checked(rows.select(F.col("f")[0].cast("int").alias("src"), F.col("f")[1].cast("int").alias("dst")), edges, path), nodes
 
 
@@ -76,9 +88,9 @@ def read_mesh(spark: SparkSession, path: str, once: bool = False) -> tuple[DataF
     A neighbour of 0 or less ends its line, a line that lists none still counts. once keeps each undirected edge once, as
     src <= dst. Lines get their numbers from a distributed sort, so a mesh may be larger than a task.
     """
-    nodes, edges = _header(spark, path)
     rows = _lines(spark, path, "NOT startswith(line, '%')")
-    head = rows.filter("line <> ''").agg(F.min("at")).first()[0]
+    head, first = rows.filter("line <> ''").agg(F.min("at"), F.min_by("line", "at")).first()
+    nodes, edges = _sizes(first, path)
     rows = rows.withColumn("src", F.col("at") - head - 1).filter(F.col("src").between(0, nodes - 1))
     listed = rows.select("src", F.posexplode(F.split("line", " ")).alias("place", "text")).filter("text <> ''")
     stop = F.min(F.when(F.col("text").cast("int") <= 0, F.col("place"))).over(Window.partitionBy("src"))

@@ -161,6 +161,25 @@ def test_lines_keep_their_numbers_in_many_splits(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def folder_of(tmp_path, *texts):
+    """A folder of files, later ones larger, as a sorted write makes it."""
+    (tmp_path / "parts").mkdir()
+    for i, text in enumerate(texts):
+        (tmp_path / "parts" / f"part-{i:05}").write_text(text)
+    return str(tmp_path / "parts")
+
+
+def test_header_is_in_the_first_file_and_not_the_largest(spark, tmp_path):
+    mesh = folder_of(tmp_path, "% note\n4 6\n2\n", "1 3 4\n\n", "1    2                      0\n")
+    found, nodes = R.read_mesh(spark, mesh)
+    assert nodes == 4 and rows(found) == [(0, 1), (1, 0), (1, 2), (1, 3), (3, 0), (3, 1)]
+
+
+def test_header_of_edges_is_in_the_first_file(spark, tmp_path):
+    path = folder_of(tmp_path, "5 4\n0 1\n", "1 2\n2 3\n3     4\n")
+    assert R.read_edges(spark, path)[1] == 5 and rows(R.read_edges(spark, path)[0]) == [(0, 1), (1, 2), (2, 3), (3, 4)]
+
+
 def test_old_checkpoints_go(spark):
     from pathlib import Path
 
