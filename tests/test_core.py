@@ -175,6 +175,12 @@ def test_header_is_in_the_first_file_and_not_the_largest(spark, tmp_path):
     assert nodes == 4 and rows(found) == [(0, 1), (1, 0), (1, 2), (1, 3), (3, 0), (3, 1)]
 
 
+def test_mesh_read_once_keeps_every_line_of_a_folder(spark, tmp_path):
+    mesh = folder_of(tmp_path, "% note\n5 8\n2\n", "1 3 4\n2\n", "2 5                        0\n4\n")
+    lists = W.csr(R.read_mesh(spark, mesh, once=True)[0]).orderBy("node").collect()
+    assert [(r.node, r.offset, r.partners) for r in lists] == [(0, 0, [1]), (1, 1, [2, 3]), (3, 3, [4])]
+
+
 def test_header_of_edges_is_in_the_first_file(spark, tmp_path):
     path = folder_of(tmp_path, "5 4\n0 1\n", "1 2\n2 3\n3     4\n")
     assert R.read_edges(spark, path)[1] == 5 and rows(R.read_edges(spark, path)[0]) == [(0, 1), (1, 2), (2, 3), (3, 4)]
