@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from tessera import queries as Q
 from tessera.functions import scalar as S
 from tessera.operators import aggregate as A
 from tessera.operators import joins as J
@@ -16,6 +18,7 @@ from tessera.plans import cluster, graphs, layout, particles, reorder
 from tessera.sources import generators as G
 from tessera.sources import readers as R
 from tessera.streaming import aggregate as T
+from tests.compare import connect, differences
 
 
 def rows(df):
@@ -181,6 +184,17 @@ def test_mesh_read_once_keeps_every_line_of_a_folder(spark, tmp_path):
     assert [(r.node, r.offset, r.partners) for r in lists] == [(0, 0, [1]), (1, 1, [2, 3]), (3, 3, [4])]
 
 
+def test_mesh_written_in_several_files_equals_sql(spark, tmp_path):
+    duckdb.execute(f"COPY (SELECT i AS event_id, TIMESTAMP '2024-01-01' + to_seconds(i) AS ts, 300 + i * i % 101 AS user_id, 'view' AS event_type, 1.0::DOUBLE AS value FROM range(2000) r(i)) TO '{tmp_path}/events.parquet'")
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        assert not differences(Q.s5_mesh_file_csr(spark, str(tmp_path)), connect(str(tmp_path)), Q.oracle_sql()["s5_mesh_file_csr"])
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_header_of_edges_is_in_the_first_file(spark, tmp_path):
     path = folder_of(tmp_path, "5 4\n0 1\n", "1 2\n2 3\n3     4\n")
     assert R.read_edges(spark, path)[1] == 5 and rows(R.read_edges(spark, path)[0]) == [(0, 1), (1, 2), (2, 3), (3, 4)]
